@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from termlens.llm import curriculum, secret_scan, toxicity, url_rules
+from termlens.llm import curriculum, dartminhash, secret_scan, syncmers, toxicity, url_rules
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
+    "op2_dartminhash": dartminhash.query,
+    "op3_syncmers": syncmers.query,
     "op4_url_rules": url_rules.query,
     "op5_curriculum": curriculum.query,
     "op6_secret_scan": secret_scan.query,
