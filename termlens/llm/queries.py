@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from termlens.llm import curriculum, dartminhash, disclosure, secret_scan, syncmers, toxicity, url_rules
+from termlens.llm import curriculum, dartminhash, disclosure, nbest, secret_scan, syncmers, toxicity, url_rules
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_curriculum": curriculum.query,
     "op6_secret_scan": secret_scan.query,
     "op8_disclosure": disclosure.query,
+    "op10_nbest": nbest.query,
 }
 
 ORACLE_SQL = {
