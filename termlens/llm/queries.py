@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from termlens.llm import curriculum, dartminhash, disclosure, nbest, secret_scan, syncmers, toxicity, url_rules
+from termlens.llm import backoff, curriculum, dartminhash, disclosure, nbest, secret_scan, syncmers, toxicity, url_rules
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_url_rules": url_rules.query,
     "op5_curriculum": curriculum.query,
     "op6_secret_scan": secret_scan.query,
+    "op7_backoff": backoff.query,
     "op8_disclosure": disclosure.query,
     "op10_nbest": nbest.query,
 }
