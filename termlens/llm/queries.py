@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from termlens.llm import backoff, curriculum, dartminhash, disclosure, nbest, secret_scan, syncmers, toxicity, url_rules
+from termlens.llm import backoff, curriculum, dartminhash, disclosure, imagedesc, nbest, secret_scan, syncmers, toxicity, url_rules
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_secret_scan": secret_scan.query,
     "op7_backoff": backoff.query,
     "op8_disclosure": disclosure.query,
+    "op9_imagedesc": imagedesc.query,
     "op10_nbest": nbest.query,
 }
 
