@@ -10,11 +10,13 @@ a coordinate stays empty the rank bound doubles.
 Joining: ``BANDS`` bands of ``ROWS`` coordinates make bucket keys. A pair of likeness 0.8 shares no bucket with
 probability (1 - 0.8^5)^25 = 5e-5. Equal texts are one node from the start. No bucket is expanded into pairs:
 
-1. each node is checked against the least node of each of its buckets (a star), exactly, on the texts;
+1. each node is checked against one other, the least node of any of its buckets, exactly, on the texts;
 2. components follow; a bucket whose nodes are one component can join nothing more and is done;
 3. the nodes of the buckets that are left meet in blocks of ``BLOCK`` by ``BLOCK``; within a task the signatures
-   of nodes of different components are compared, and only pairs that may reach the threshold (estimate
-   above ``NEAR_ESTIMATE``, over four standard errors below it) come out, to be checked on the texts.
+   of nodes of different components are compared; nodes without a pair that may reach the threshold (estimate
+   above ``NEAR_ESTIMATE``, over four standard errors below it) drop out;
+4. the others meet again with their texts; a task checks pairs exactly, likely ones first, and leaves out pairs
+   that are joined already. Only the edges that join components come out, never the pairs.
 
 So no cap applies, and a group of n near copies costs about n checks.
 """
@@ -206,69 +208,108 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return common.cut(rows.select("a", "text_a", "b", "text_b").mapInPandas(_check, "a long, b long"))
 
 
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs within sorted runs (key, i, j) of nodes that are of different components and may be near."""
+def _runs(batches: Iterator[pd.DataFrame], columns: tuple[str, ...], work) -> Iterator[pd.DataFrame]:
+    """``work`` on each run of equal (key, i, j) in sorted batches; a run is at most two blocks."""
     pending: list[tuple] = []
     at = None
-
-    def flush() -> tuple[list[int], list[int]]:
-        if len(pending) < 2:
-            return [], []
-        i, j = at[1], at[2]
-        node = np.array([r[0] for r in pending])
-        comp = np.array([r[1] for r in pending])
-        n = np.array([r[2] for r in pending], dtype=np.float64)
-        block = np.array([r[3] for r in pending])
-        sig = np.frombuffer(b"".join(r[4] for r in pending), np.uint32).reshape(len(pending), COORDINATES)
-        left, right = (np.flatnonzero(block == i), np.flatnonzero(block == j))
-        a, b = [], []
-        for x in left:
-            y = right[right > x] if i == j else right
-            y = y[(comp[y] != comp[x]) & (np.minimum(n[y], n[x]) >= THRESHOLD * np.maximum(n[y], n[x]))]
-            if len(y):
-                y = y[(sig[y] == sig[x]).mean(axis=1) >= NEAR_ESTIMATE]
-                a += np.maximum(node[y], node[x]).tolist()
-                b += np.minimum(node[y], node[x]).tolist()
-        return a, b
-
     for batch in batches:
-        a, b = [], []
-        for key, i, j, node, comp, n, block, sig in zip(*(batch[c] for c in ("key", "i", "j", "node", "comp", "n", "block", "sig"))):
+        for key, i, j, *row in zip(*(batch[c] for c in ("key", "i", "j", *columns))):
             if (key, i, j) != at:
-                x, y = flush()
-                a += x
-                b += y
+                if len(pending) > 1:
+                    yield work(at, pending)
                 pending, at = [], (key, i, j)
-            pending.append((node, comp, n, block, sig))
-        yield pd.DataFrame({"a": a, "b": b}, dtype="int64")
-    x, y = flush()
-    yield pd.DataFrame({"a": x, "b": y}, dtype="int64")
+            pending.append(tuple(row))
+    if len(pending) > 1:
+        yield work(at, pending)
+
+
+def _candidates(at: tuple, rows: list[tuple]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """From rows (node, comp, n, block, band, sig, ...) of a run: for each row, the later rows of the other
+    block that may be near and of another component, and their estimates. A pair that shares several buckets
+    belongs to its first band's."""
+    _, i, j = at
+    comp, n, block = (np.array([r[k] for r in rows]) for k in (1, 2, 3))
+    sig = np.frombuffer(b"".join(r[5] for r in rows), np.uint32).reshape(len(rows), COORDINATES)
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    for x in left:
+        y = right[right > x] if i == j else right
+        y = y[(comp[y] != comp[x]) & (np.minimum(n[y], n[x]) >= THRESHOLD * np.maximum(n[y], n[x]))]
+        if not len(y):
+            continue
+        same = sig[y] == sig[x]
+        share = same.mean(axis=1)
+        first = same.reshape(len(y), BANDS, ROWS).all(axis=2).argmax(axis=1)
+        keep = (share >= NEAR_ESTIMATE) & (first == rows[x][4])
+        if keep.any():
+            yield int(x), y[keep], share[keep]
+
+
+def _needed(at: tuple, rows: list[tuple]) -> pd.DataFrame:
+    """The nodes of a run that have a candidate."""
+    some: set[int] = set()
+    for x, y, _ in _candidates(at, rows):
+        some.add(x)
+        some.update(y.tolist())
+    return pd.DataFrame({"key": np.full(len(some), at[0], np.int64), "node": np.array([rows[k][0] for k in sorted(some)], np.int64)})
+
+
+def _joined(at: tuple, rows: list[tuple]) -> pd.DataFrame:
+    """Edges of a run, checked on the texts; pairs that edges so far have joined aren't checked."""
+    parsed: dict[int, tuple] = {}
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while parent.get(c, c) != c:
+            parent[c] = parent.get(parent[c], parent[c])
+            c = parent[c]
+        return c
+
+    pairs = sorted(((-s, x, int(k)) for x, y, share in _candidates(at, rows) for k, s in zip(y, share)), key=lambda p: p[0])
+    out = []
+    for _, x, y in pairs:
+        a, b = root(rows[x][1]), root(rows[y][1])
+        if a == b:
+            continue
+        for k in (x, y):
+            if k not in parsed:
+                parsed[k] = shingles(rows[k][6])
+        if weighted_jaccard(parsed[x], parsed[y]) >= THRESHOLD:
+            parent[a] = b
+            out.append((max(rows[x][0], rows[y][0]), min(rows[x][0], rows[y][0])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows (key, node, ...) of buckets, each in every pair of blocks of its bucket that holds its own, sorted."""
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
+    return rows.repartition(common.partitions(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
 
 
 def _near(n: str, m: str) -> F.Column:
     return F.least(n, m) >= THRESHOLD * F.greatest(n, m)
 
 
-def links(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """Checked edges (a, b) whose components are those of all near pairs that share a bucket; None if there are none.
+def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Checked edges (a, b) whose components are those of all near pairs that share a bucket.
 
     ``nodes``: (node, n, sig, bands), one row for each text; ``docs``: (node, text).
     """
-    own = nodes.where("bands is not null").select("node", "n", F.explode("bands").alias("key"))
+    own = nodes.where("bands is not null").select("node", "n", F.posexplode("bands").alias("band", "key"))
     leaders = own.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.max("node").alias("last")).where("lead.node < last")
-    members = common.cut(own.join(leaders.drop("last"), "key").select("key", "node", "n", "lead"))
-    stars = members.where(F.col("node") > F.col("lead.node")).where(_near("n", "lead.n")).select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct()
+    members = common.cut(own.join(leaders.drop("last"), "key").select("key", "band", "node", "n", "lead"))
+    stars = members.where(F.col("node") > F.col("lead.node")).where(_near("n", "lead.n")).groupBy(F.col("node").alias("a")).agg(F.min("lead.node").alias("b"))
     edges = _verified(stars, docs)
-    labels = components(edges)
-    placed = members.select("key", "node", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
+    placed = members.drop("lead").join(components(edges), "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
     placed = common.cut(placed)
-    left = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).where("x < y").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rest = placed.join(left, "key").join(nodes.select("node", "sig"), "node")
-    # A node goes to each pair of blocks that holds its own.
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "comp", "n", "block", "sig")
-    rest = rest.repartition(common.partitions(nodes.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-    more = _verified(rest.mapInPandas(_blocks, "a long, b long").distinct(), docs)
+    left = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
+    rest = placed.join(left, "key", "left_semi").join(nodes.select("node", "sig"), "node")
+    columns = ("node", "comp", "n", "block", "band", "sig")
+    needed = common.cut(_dealt(rest).mapInPandas(lambda it: _runs(it, columns, _needed), "key long, node long").distinct())
+    texts = docs.join(needed.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text"))
+    rest = placed.join(needed, ["key", "node"]).join(nodes.select("node", "sig"), "node").join(texts, "node")
+    more = common.cut(_dealt(rest).mapInPandas(lambda it: _runs(it, (*columns, "text"), _joined), "a long, b long"))
     return edges.union(more)
 
 
