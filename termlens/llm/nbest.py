@@ -23,7 +23,6 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -37,7 +36,7 @@ from termlens.llm import common
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 #: Entries of each of the two generations of a worker's cache, and the longest chunk that it keeps.
-CACHE, CACHED_CHARS = 200_000, 64
+CACHE, CACHED_CHARS = 400_000, 64
 UNIT = 1e-6
 _NEVER = -(2**62)
 #: Cost of a second best that doesn't exist.
@@ -102,55 +101,18 @@ def arcs(v: Vocabulary, s: str) -> list[list[tuple[int, int, tuple[int, ...]]]]:
     return into
 
 
-def forward(into: list[list]) -> tuple[list[int], list[tuple | None]]:
-    """Best score from the start to each place, and the arc by which it is reached (the first of equals)."""
-    best, back = [0] + [_NEVER] * (len(into) - 1), [None] * len(into)
+def forward(into: list[list]) -> list[int]:
+    """Best score from the start to each place."""
+    best = [0] + [_NEVER] * (len(into) - 1)
     for j in range(1, len(into)):
-        top, arc = _NEVER, None
-        for a in into[j]:
-            x = best[a[0]] + a[1]
-            if x > top:
-                top, arc = x, a
-        best[j], back[j] = top, arc
-    return best, back
-
-
-def best_path(back: list[tuple | None]) -> tuple[int, ...]:
-    parts, j = [], len(back) - 1
-    while j:
-        parts.append(back[j][2])
-        j = back[j][0]
-    return tuple(x for ids in reversed(parts) for x in ids)
-
-
-def second_cost(into: list[list], best: list[int], back: list[tuple | None]) -> int:
-    """What the second best segmentation costs over the best; _ONE_WAY if there is only one."""
-    n = len(into) - 1
-    tail = [_NEVER] * n + [0]
-    for j in range(n, 0, -1):
-        t = tail[j]
-        for i, score, _ in into[j]:
-            if t + score > tail[i]:
-                tail[i] = t + score
-    on = set()
-    j = n
-    while j:
-        on.add((back[j][0], j, back[j][2]))
-        j = back[j][0]
-    top = _NEVER
-    for j in range(1, n + 1):
-        t = tail[j]
-        for i, score, ids in into[j]:
-            x = best[i] + score + t
-            if x > top and (i, j, ids) not in on:
-                top = x
-    return _ONE_WAY if top == _NEVER else best[n] - top
+        best[j] = max(best[i] + score for i, score, _ in into[j])
+    return best
 
 
 def n_best(v: Vocabulary, s: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
     """The ``n`` best segmentations of a string as (score, ids), by backward A*; of equals, the first found."""
     into = arcs(v, s)
-    best, _ = forward(into)
+    best = forward(into)
     agenda, count, out = [(-best[-1], 0, len(s), 0, None)], 0, []
     while agenda and len(out) < n:
         minus, _, j, g, path = heapq.heappop(agenda)
@@ -167,12 +129,43 @@ def n_best(v: Vocabulary, s: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
     return out
 
 
-def _chunk(v: Vocabulary, s: str) -> tuple[tuple[int, ...], int, int]:
-    """Ids and score of the best segmentation of a chunk, and the cost of the second best."""
-    into = arcs(v, s)
-    best, back = forward(into)
-    found = (best_path(back), best[-1], second_cost(into, best, back))
-    if len(s) <= CACHED_CHARS:
+def _chunk(v: Vocabulary, s: str) -> tuple[bytes, int, int]:
+    """Ids (32 bits each) and score of a chunk's best segmentation, and what the second best costs more.
+
+    One pass forward over the arcs by their ends, one back: an arc off the best path, with the best ways to its
+    start and from its end, is the best that takes it.
+    """
+    n = len(s)
+    best, back = [0] + [_NEVER] * n, [None] * (n + 1)
+    if v.covered.issuperset(s):
+        flat = [(end + 1 - x[0], end + 1, x[1], x[2]) for end, x in v.pieces.iter(s)]
+    else:
+        flat = [(i, j, score, ids) for j, ends in enumerate(arcs(v, s)) for i, score, ids in ends]
+    for arc in flat:
+        i, j, score, _ = arc
+        x = best[i] + score
+        if x > best[j]:
+            best[j], back[j] = x, arc
+    on: list = [None] * (n + 1)
+    ids: tuple[int, ...] = ()
+    j = n
+    while j:
+        arc = on[j] = back[j]
+        ids = arc[3] + ids if n <= CACHED_CHARS else ids
+        j = arc[0]
+    if n > CACHED_CHARS:  # long chunks: no adding of tuples again and again
+        ids = tuple(x for arc in on if arc for x in arc[3])
+    tail = [_NEVER] * n + [0]
+    top = _NEVER
+    for arc in reversed(flat):
+        i, j, score, _ = arc
+        y = tail[j] + score
+        if y > tail[i]:
+            tail[i] = y
+        if on[j] is not arc and best[i] + y > top:
+            top = best[i] + y
+    found = (np.array(ids, np.int32).tobytes(), best[n], best[n] - top if top > _NEVER // 2 else _ONE_WAY)
+    if n <= CACHED_CHARS:
         _keep(v, s, found)
     return found
 
@@ -208,7 +201,7 @@ def encode(v: Vocabulary, text: str, n: int = N_BEST) -> tuple[np.ndarray, list[
                 found[k] = v.fresh.get(s) or _recall(v, s) or _chunk(v, s)
     parts, scores, costs = zip(*found)
     total = sum(scores)
-    ids = np.fromiter(chain.from_iterable(parts), np.int32)
+    ids = np.frombuffer(b"".join(parts), np.int32)
     cost = np.array(costs)
     near = np.argpartition(cost, n - 2)[: n - 1] if len(cost) >= n > 1 else np.arange(len(cost))
     if len(cost) >= n > 1:  # of chunks of equal cost, the first ones
@@ -219,13 +212,13 @@ def encode(v: Vocabulary, text: str, n: int = N_BEST) -> tuple[np.ndarray, list[
     for k in least:
         ways = n_best(v, chunks[k], n)
         combos = heapq.nsmallest(n, ((cost + ways[0][0] - score, (*edits, (k, way)) if r else edits) for cost, edits in combos for r, (score, way) in enumerate(ways)), key=lambda c: c[0])
-    starts = np.cumsum([0, *(len(p) for p in parts)]) if len(combos) > 1 else []
-    return ids, [(total - cost, [(int(starts[k]), len(parts[k]), way) for k, way in edits]) for cost, edits in combos]
+    starts = np.cumsum([0, *(len(p) // 4 for p in parts)]) if len(combos) > 1 else []
+    return ids, [(total - cost, [(int(starts[k]), len(parts[k]) // 4, way) for k, way in edits]) for cost, edits in combos]
 
 
 def decode(v: Vocabulary, ids) -> str:
     """The text of a sequence of ids; bytes that aren't UTF-8 become replacement characters."""
-    return b"".join(map(v.raw.__getitem__, ids)).decode("utf-8", "replace")[1:] if len(ids) else ""
+    return b"".join(map(v.raw.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids)).decode("utf-8", "replace")[1:] if len(ids) else ""
 
 
 _HELD: dict[int, Vocabulary] = {}
