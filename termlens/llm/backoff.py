@@ -8,8 +8,10 @@ Counting and scoring are two joins on hash partitions. Documents are dealt into
 n-grams and sends, for each order and hash partition, its distinct n-grams and how often each occurs, packed (a
 relation of n-grams with one row for each block and partition instead of one for each n-gram). A partition adds
 up the counts of all blocks, which makes its part of the count table, and joins it back: each block gets the
-counts for what it asked. The block joins them to its exploded n-grams and sums per document. A frequent n-gram
-is one entry for a block, so no key is hot; numbers of blocks and partitions follow the size of the corpus.
+counts for what it asked. The block joins them to its exploded n-grams and sums per document. Words and pairs go
+first; a longer n-gram is asked for only where both its parts occur ``LEAST`` times, as it can't occur more often
+than they do. A frequent n-gram is one entry for a block, so no key is hot; numbers of blocks and partitions follow
+the size of the corpus.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from termlens.llm.hashing import BASE, U, mix
 
 ORDER, LEAST, BACKOFF = 3, 2, 0.4
 #: Characters of a block of documents, and of the corpus for each hash partition.
-BLOCK_CHARS, PART_CHARS = 4_000_000, 16_000_000
+BLOCK_CHARS, PART_CHARS = 6_000_000, 16_000_000
 #: Bits of an n-gram's hash that are sent beside its partition.
 BITS = 48
 
@@ -74,28 +76,34 @@ def unpack(blob: bytes) -> np.ndarray:
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    """Two bytes for each count; those of 65535 and more follow at the end in eight."""
-    large = counts >= 65535
-    return np.where(large, 65535, counts).astype("<u2").tobytes() + counts[large].astype("<u8").tobytes()
+    """One byte for each count; those of 255 and more follow at the end in eight."""
+    large = counts >= 255
+    return np.where(large, 255, counts).astype(np.uint8).tobytes() + counts[large].astype("<u8").tobytes()
 
 
 def unpack_counts(blob: bytes, n: int) -> np.ndarray:
-    counts = np.frombuffer(blob, "<u2", n).astype(np.int64)
-    large = counts == 65535
+    counts = np.frombuffer(blob, np.uint8, n).astype(np.int64)
+    large = counts == 255
     if large.any():
-        counts[large] = np.frombuffer(blob, "<u8", offset=2 * n).astype(np.int64)
+        counts[large] = np.frombuffer(blob, "<u8", offset=n).astype(np.int64)
     return counts
 
 
-def _ask(parts: int, order: int):
-    """Sorted rows (block, ..., text) -> (part, n, block, hashes, counts)."""
+def _rows(g: np.ndarray, n: int, block, parts: int) -> pd.DataFrame:
+    """A block's distinct n-grams of one order and their counts, packed by partition."""
+    distinct, counts = np.unique(g[g != 0], return_counts=True)
+    at = parts_of(distinct, parts)
+    low = [(p << 64) // parts for p in range(parts + 1)]
+    rows = [(p, n, block, pack(distinct[a:b], low[p], low[p + 1] - low[p]), pack_counts(counts[a:b])) for p, (a, b) in enumerate(zip(at, at[1:])) if b > a]
+    return pd.DataFrame(rows, columns=["part", "n", "block", "hashes", "counts"])
+
+
+def _ask(parts: int):
+    """Sorted rows (block, ..., text) -> the block's words and pairs of words."""
 
     def emit(block, texts: list[str]) -> Iterator[pd.DataFrame]:
-        for n, g in enumerate(grams([word_hashes(t) for t in texts], order), 1):
-            distinct, counts = np.unique(g[g != 0], return_counts=True)
-            at = parts_of(distinct, parts)
-            rows = [(p, n, block, pack(distinct[a:b], (p << 64) // parts, ((p + 1 << 64) // parts) - ((p << 64) // parts)), pack_counts(counts[a:b])) for p, (a, b) in enumerate(zip(at, at[1:])) if b > a]
-            yield pd.DataFrame(rows, columns=["part", "n", "block", "hashes", "counts"])
+        for n, g in enumerate(grams([word_hashes(t) for t in texts], min(2, ORDER)), 1):
+            yield _rows(g, n, block, parts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, texts = None, []
@@ -112,6 +120,44 @@ def _ask(parts: int, order: int):
     return run
 
 
+def _before(x: np.ndarray) -> np.ndarray:
+    """What stands one place earlier in the block."""
+    return np.concatenate([np.zeros(1, x.dtype), x[:-1]])[: len(x)]
+
+
+def _seen(gs: list[np.ndarray], counts: pd.DataFrame, parts: int, least: int) -> list[np.ndarray]:
+    """The corpus's counts of the n-grams at each place, order by order; of 3 and more words 0 where a part is rarer
+    than ``least``, since the whole is then too and wasn't asked for."""
+    known = {(n, p): c for n, p, c in zip(counts["n"], counts["part"], counts["counts"])}
+    out: list[np.ndarray] = []
+    for n, g in enumerate(gs, 1):
+        if n > 2:
+            g = _frequent(g, out[-1], least)
+        distinct, at = np.unique(g, return_inverse=True)
+        skip = int(len(distinct) > 0 and distinct[0] == 0)
+        ends = parts_of(distinct[skip:], parts)
+        full = [unpack_counts(known[n, p], int(b - a)) for p, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
+        out.append(np.concatenate([np.zeros(skip, np.int64), *full])[at])
+    return out
+
+
+def _frequent(g: np.ndarray, parts_seen: np.ndarray, least: int) -> np.ndarray:
+    """The n-grams whose two parts (one word shorter) occur often enough, else 0."""
+    return np.where((parts_seen >= least) & (_before(parts_seen) >= least), g, U(0))
+
+
+def _ask_more(parts: int, n: int, least: int):
+    """A block's n-grams of three and more words whose parts are frequent."""
+
+    def run(docs: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+        if not len(docs):
+            return _rows(np.zeros(0, U), n, 0, parts)
+        gs = grams([word_hashes(t) for t in docs["text"]], n)
+        return _rows(_frequent(gs[-1], _seen(gs[:-1], counts, parts, least)[-1], least), n, docs["block"].iloc[0], parts)
+
+    return run
+
+
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Sorted rows (part, n, block, hashes, counts): the part's count table, joined back to each block's n-grams."""
 
@@ -141,18 +187,10 @@ def _score(parts: int, order: int, least: int, total: int):
     def run(docs: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
         words = [word_hashes(t) for t in docs["text"]]
         lengths = np.array([len(w) for w in words], dtype=np.int64)
-        gs = grams(words, order)
-        known = {(n, p): c for n, p, c in zip(counts["n"], counts["part"], counts["counts"])}
-        seen = []
-        for n, g in enumerate(gs, 1):
-            distinct, at = np.unique(g, return_inverse=True)
-            skip = int(len(distinct) > 0 and distinct[0] == 0)
-            ends = parts_of(distinct[skip:], parts)
-            full = [unpack_counts(known[n, p], int(b - a)) for p, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
-            seen.append(np.concatenate([np.zeros(skip, np.int64), *full])[at])
+        seen = _seen(grams(words, order), counts, parts, least)
         value = np.log10(np.maximum(seen[0], 1)) - math.log10(max(1, total)) + back * (order - 1)
         for n in range(2, order + 1):
-            context = np.concatenate([np.ones(1, np.int64), seen[n - 2][:-1]])[: len(value)]
+            context = _before(seen[n - 2])
             hit = seen[n - 1] >= least
             # The best order comes last and stands.
             value = np.where(hit, np.log10(np.maximum(seen[n - 1], 1)) - np.log10(np.maximum(context, 1)) + back * (order - n), value)
@@ -176,9 +214,15 @@ def scores(docs: DataFrame, order: int = ORDER, least: int = LEAST, id_col: str
     chars, total = size["chars"] or 0, size["words"] or 0
     blocks, parts = 1 + chars // block_chars, 1 + chars // part_chars
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks))).repartition(common.partitions(spark), "block")
-    asked = dealt.sortWithinPartitions("block").mapInPandas(_ask(parts, order), "part int, n int, block long, hashes binary, counts binary")
-    asked = asked.repartition(common.partitions(spark), "part").sortWithinPartitions("part", "n")
-    counts = asked.mapInPandas(_count, "block long, n int, part int, counts binary")
+    n_parts, asked_schema = common.partitions(spark), "part int, n int, block long, hashes binary, counts binary"
+
+    def counted(asked: DataFrame) -> DataFrame:
+        return asked.repartition(n_parts, "part").sortWithinPartitions("part", "n").mapInPandas(_count, "block long, n int, part int, counts binary")
+
+    counts = counted(dealt.sortWithinPartitions("block").mapInPandas(_ask(parts), asked_schema))
+    for n in range(3, order + 1):
+        asked = dealt.groupBy("block").cogroup(counts.groupBy("block")).applyInPandas(_ask_more(parts, n, least), asked_schema)
+        counts = counts.unionByName(counted(asked))
     out = dealt.groupBy("block").cogroup(counts.groupBy("block")).applyInPandas(_score(parts, order, least, total), "id long, n_words long, score double")
     return out.select(F.col("id").alias(id_col), "n_words", "score", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")).alias("mean"))
 
