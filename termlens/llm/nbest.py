@@ -27,6 +27,7 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +57,7 @@ class Vocabulary:
     chunk: re.Pattern
     fresh: dict = field(default_factory=dict)
     aged: dict = field(default_factory=dict)
+    ways: dict = field(default_factory=dict)
 
 
 def read_vocabulary(model: bytes) -> Vocabulary:
@@ -184,6 +186,17 @@ def _keep(v: Vocabulary, s: str, found: tuple) -> None:
     v.fresh[s] = found
 
 
+def _ways(v: Vocabulary, s: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
+    found = v.ways.get((s, n))
+    if found is None:
+        found = n_best(v, s, n)
+        if len(s) <= CACHED_CHARS:
+            if len(v.ways) >= CACHE // 10:
+                v.ways.clear()
+            v.ways[s, n] = found
+    return found
+
+
 def encode(v: Vocabulary, text: str, n: int = N_BEST) -> tuple[np.ndarray, list[tuple[int, list[tuple[int, int, tuple[int, ...]]]]]]:
     """Ids of the best segmentation, and the ``n`` best as (score, edits); an edit is (start, drop, ids) on the best's ids.
 
@@ -210,7 +223,7 @@ def encode(v: Vocabulary, text: str, n: int = N_BEST) -> tuple[np.ndarray, list[
     least = sorted(k for k in near.tolist() if costs[k] < _ONE_WAY)
     combos: list[tuple[int, tuple]] = [(0, ())]
     for k in least:
-        ways = n_best(v, chunks[k], n)
+        ways = _ways(v, chunks[k], n)
         combos = heapq.nsmallest(n, ((cost + ways[0][0] - score, (*edits, (k, way)) if r else edits) for cost, edits in combos for r, (score, way) in enumerate(ways)), key=lambda c: c[0])
     starts = np.cumsum([0, *(len(p) // 4 for p in parts)]) if len(combos) > 1 else []
     return ids, [(total - cost, [(int(starts[k]), len(parts[k]) // 4, way) for k, way in edits]) for cost, edits in combos]
@@ -247,27 +260,37 @@ def encode_texts(docs: DataFrame, model: str = MODEL, n: int = N_BEST, id_col: s
     with open(model, "rb") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema([("id", pa.int64()), ("n_pieces", pa.int64()), ("score", pa.float64()), ("ids", pa.list_(pa.int32())), ("alternatives", _WAYS), ("round_trip", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(sent.value)
         for batch in batches:
-            rows, chars = [], 0
-            for row_id, text in zip(batch["id"], batch["text"]):
+            held, chars = [], 0
+            for row_id, text in zip(batch.column(0), batch.column(1)):
+                text = text.as_py()
                 ids, ways = encode(v, text, n)
-                other = [{"score": s * UNIT, "edits": [{"start": a, "drop": d, "ids": list(i)} for a, d, i in edits]} for s, edits in ways[1:]]
-                rows.append((row_id, len(ids), ways[0][0] * UNIT, ids, other, decode(v, ids) == text))
+                held.append((row_id.as_py(), ids, ways, decode(v, ids) == text))
                 chars += len(text)
                 if chars > 2_000_000:
-                    yield _frame(rows)
-                    rows, chars = [], 0
-            yield _frame(rows)
+                    yield _batch(held, schema)
+                    held, chars = [], 0
+            yield _batch(held, schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), common.text_or_empty(text_col).alias("text"))
-    out = rows.mapInPandas(run, f"id long, n_pieces long, score double, ids array<int>, alternatives array<struct<score:double,edits:{_EDITS}>>, round_trip boolean")
+    out = rows.mapInArrow(run, f"id long, n_pieces long, score double, ids array<int>, alternatives array<struct<score:double,edits:{_EDITS}>>, round_trip boolean")
     return out.withColumnRenamed("id", id_col)
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["id", "n_pieces", "score", "ids", "alternatives", "round_trip"]).astype({"id": "Int64"})
+_WAYS = pa.list_(pa.struct([("score", pa.float64()), ("edits", pa.list_(pa.struct([("start", pa.int32()), ("drop", pa.int32()), ("ids", pa.list_(pa.int32()))])))]))
+
+
+def _batch(held: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    """Rows (id, ids, ways, round trip) as columns; the ids of all rows are one array with offsets."""
+    offsets = np.cumsum([0, *(len(h[1]) for h in held)]).astype(np.int32)
+    values = np.concatenate([np.zeros(0, np.int32), *(h[1] for h in held)])
+    others = [[{"score": s * UNIT, "edits": [{"start": a, "drop": d, "ids": i} for a, d, i in edits]} for s, edits in h[2][1:]] for h in held]
+    columns = [pa.array([h[0] for h in held], pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.array([h[2][0][0] * UNIT for h in held], pa.float64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(others, _WAYS), pa.array([h[3] for h in held], pa.bool_())]
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
 def decode_ids(encoded: DataFrame, model: str = MODEL, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
