@@ -34,14 +34,14 @@ _SPANS = "array<struct<s:int,e:int,v:string>>"
 #: Code points on either side of an entity that are its context.
 REACH = 80
 SUPPORT, GENERALISE, REMOVE = 2, 0.85, 0.95
-TERM = r"[\p{L}]+"
 MIN_TERM, MAX_TERM = 4, 40
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "removed": ""}
 
 
-def located(text: Column, pattern: str) -> Column:
+def located(text: Column, pattern: str | Column) -> Column:
     """Matches of ``pattern`` with start and end in code points: what lies between them adds up to their places."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
     gaps = F.split(text, pattern, -1)
     zipped = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
@@ -142,7 +142,9 @@ def analysed(docs: DataFrame) -> DataFrame:
     # Only rows with an entity can have disclosing words; the others don't go through the join.
     some = rows.where(_any())
     some = some.join(hits, some["doc_id"].eqNullSafe(hits["__pii_id"]) & (F.xxhash64("__pii_text") == hits["__pii_h"]), "left").drop("__pii_id", "__pii_h")
-    words = F.filter(located(F.col("__pii_text"), TERM), lambda x: F.map_contains_key("__pii_reveal", F.lower(x["v"])))
+    # Only the row's own few words are looked for: they are letters, so they can stand in a pattern.
+    own_terms = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.map_keys("__pii_reveal"), "|"), F.lit(r")(?!\p{L})"))
+    words = F.filter(located(F.col("__pii_text"), own_terms), lambda x: F.map_contains_key("__pii_reveal", F.lower(x["v"])))
     term = F.transform(words, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(F.element_at("__pii_reveal", F.lower(x["v"])) >= REMOVE, "removed").otherwise("term").alias("v")))
     some = some.withColumn("__pii_term", F.when(F.col("__pii_reveal").isNotNull(), term).otherwise(F.array().cast(_SPANS))).drop("__pii_reveal")
     return rows.where(~_any()).withColumn("__pii_term", F.array().cast(_SPANS)).unionByName(some)
