@@ -115,9 +115,10 @@ def n_best(v: Vocabulary, s: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
     """The ``n`` best segmentations of a string as (score, ids), by backward A*; of equals, the first found."""
     into = arcs(v, s)
     best = forward(into)
-    agenda, count, out = [(-best[-1], 0, len(s), 0, None)], 0, []
+    # Of equal scores the one nearest to the start goes first: many equal ways don't hold up the first whole ones.
+    agenda, count, out = [(-best[-1], len(s), 0, 0, None)], 0, []
     while agenda and len(out) < n:
-        minus, _, j, g, path = heapq.heappop(agenda)
+        minus, j, _, g, path = heapq.heappop(agenda)
         if j == 0:
             ids = []
             while path:
@@ -127,7 +128,7 @@ def n_best(v: Vocabulary, s: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
             continue
         for i, score, piece in into[j]:
             count += 1
-            heapq.heappush(agenda, (-(g + score + best[i]), count, i, g + score, (piece, path)))
+            heapq.heappush(agenda, (-(g + score + best[i]), i, count, g + score, (piece, path)))
     return out
 
 
