@@ -112,7 +112,7 @@ def signature(elements: np.ndarray, weights: np.ndarray, k: int = COORDINATES, d
         step = 0
         while len(cell):
             step += 1
-            h = mix(cell + U(step) * _DART)
+            h = mix(cell + U(step * int(_DART) % 2**64))
             end = np.minimum(1.0, bound - base)
             if step == 1 and cells == 1:  # most elements of a long text throw no dart: no logarithm for them
                 near = _unit(h) >= math.exp(-min(1.0, bound)) * (1 - 1e-12)
