@@ -431,3 +431,26 @@ def role_names(spark: SparkSession, d: str) -> DataFrame:
 def uri_segments(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "documents").select("doc_id", F.concat(F.lit("https://example.org/skill/s"), F.col("doc_id").cast("string")).alias("uri"))
     return rows.withColumn("segment", tx.last_segment(F.col("uri")))
+
+
+@_register()
+def profile_match(spark: SparkSession, d: str) -> DataFrame:
+    """The five roles nearest to a person's text."""
+    roles, _ = views.profile_match(domain.tables(spark, d), "I have worked with that License, there and other; then in Berlin")
+    return roles.select("cluster_id", "role_label", F.round("score", 9).alias("score"))
+
+
+@_register(_with("ct sk", "SELECT row_number() OVER (ORDER BY cluster_id)::BIGINT AS place, cluster_id, score FROM (SELECT cluster_id, round(avg((name IN ('that', 'license', 'there', 'other', 'then'))::INTEGER), 9) AS score FROM ct JOIN sk USING (skill_id) GROUP BY ALL)"))
+def profile_scores(spark: SparkSession, d: str) -> DataFrame:
+    """A person's text against every role: the share of its top skills that the text names."""
+    mine = extraction.profile_skills("That License, there and other; then", domain.skills(spark, d).withColumnRenamed("name", "canonical_name"))
+    scores = views.role_match(_top(spark, d), mine).withColumn("score", F.round("score", 9))
+    return sinks.with_ids(scores, "place", ["cluster_id"]).select("place", "cluster_id", "score")
+
+
+@_register()
+def grounded_answers(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of each conversation's turns as a model's answers, grounded to the vocabulary."""
+    turns = read(spark, d, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("item_id"), F.substring_index("text", "\n", 1).alias("answer"))
+    known = grounding.lookup(domain.skills(spark, d).where("length(name) >= 6"), "name", "skill_id")
+    return grounding.grounded(turns, known).select("item_id", F.size("terms").cast("long").alias("n_terms"), "dropped")
