@@ -134,7 +134,7 @@ def disclosing(rows: DataFrame, support: int = SUPPORT, least: float = GENERALIS
 def analysed(docs: DataFrame) -> DataFrame:
     """``docs`` with ``__pii_text``, the spans of each kind, and ``__pii_term``: spans of disclosing words."""
     rows = with_spans(docs.withColumn("__pii_text", common.text_or_empty()))
-    reveal = common.cut(disclosing(rows))
+    reveal = disclosing(rows)
     own = ["doc_id", F.xxhash64("__pii_text").alias("h")]
     hits = rows.where(_any()).select(*own, F.explode(F.array_distinct(F.transform(_entities(), lambda x: x["c"]))).alias("c")).join(reveal, "c")
     hits = hits.groupBy("doc_id", "h", "term").agg(F.max("share").alias("share")).groupBy("doc_id", "h").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("__pii_reveal"))
