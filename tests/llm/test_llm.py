@@ -495,6 +495,17 @@ def test_search_equals_brute_force_and_finds_edits(spark):
     assert imagedesc.search(frame(spark, asked), frame(spark, images).limit(0)).count() == 0
 
 
+def test_members_of_a_class_are_all_tried(spark, monkeypatch):
+    monkeypatch.setattr(imagedesc, "BLOCK", 2)
+    images = pictures(7, 5)
+    nodes = imagedesc.features(frame(spark, images)).select(F.col("id").alias("node"), "features")
+    wanted = imagedesc.features(frame(spark, [imagedesc.edit(images[k]) for k in (5, 2, 6)])).select((F.col("id") + 100).alias("node"), "features")
+    labels = nodes.select("node", F.lit(0).cast("long").alias("label"))
+    rest = wanted.select(F.col("node").alias("a"), F.lit(0).cast("long").alias("class"))
+    got = {(r.a, r.b) for r in imagedesc._within_classes(rest, labels, wanted, nodes).collect()}
+    assert got >= {(100, 5), (101, 2), (102, 6)}
+
+
 def test_drawing():
     assert imagedesc.draw(None).size == 0 and imagedesc.draw("<script>x</script><!-- y -->").size == 0
     p = imagedesc.draw("<p>one two</p>")
