@@ -276,6 +276,7 @@ def encode_texts(docs: DataFrame, model: str = MODEL, n: int = N_BEST, id_col: s
                     yield _batch(held, schema)
                     held, chars = [], 0
             yield _batch(held, schema)
+        v.aged.clear()  # the worker lives on: what other stages need isn't held by old entries
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), common.text_or_empty(text_col).alias("text"))
     out = rows.mapInArrow(run, f"id long, n_pieces long, score double, ids array<int>, alternatives array<struct<score:double,edits:{_EDITS}>>, round_trip boolean")
