@@ -495,6 +495,17 @@ def test_search_equals_brute_force_and_finds_edits(spark):
     assert imagedesc.search(frame(spark, asked), frame(spark, images).limit(0)).count() == 0
 
 
+def test_search_names_each_matched_image(spark):
+    base = pictures(1, 11)[0]
+    near = [base.copy() for _ in range(4)]
+    for k, p in enumerate(near):
+        p[:2, :2] = k
+    images = [*pictures(2, 12), *near, near[1]]
+    rows = imagedesc.search(frame(spark, [imagedesc.edit(base)]), frame(spark, images)).collect()
+    assert {(r.match, r.copies) for r in rows} == {(2, 1), (3, 2), (4, 1), (5, 1)} and len(rows) == 4
+    assert [tuple(r) for r in imagedesc.copies(imagedesc.features(frame(spark, images))).collect()] == [(6, 3)]
+
+
 def test_members_of_a_class_are_all_tried(spark, monkeypatch):
     monkeypatch.setattr(imagedesc, "BLOCK", 2)
     images = pictures(7, 5)
