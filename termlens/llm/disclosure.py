@@ -1,11 +1,12 @@
 """PII: pattern spans, and information-theoretic sanitisation of what else gives a person away.
 
 The base patterns (e-mail, IP address, card, telephone) are fixed by the query's contract. Every distinct value
-found is a protected entity c. The corpus then tells which words give c away: with n_c contexts of c (the words
-near an occurrence; equal contexts count once), n_ct of them holding the word t, n_t documents holding t, and N
-documents, t discloses the share ``PMI(c; t) / IC(c) = 1 + log(n_ct / n_t) / log(N / n_c)`` of c's information. Words
+found is a protected entity c. The corpus then tells which words give c away: with n_c texts that hold c, n_ct of
+them with the word t near c, n_t texts holding t, and N texts (all of them distinct texts: exact copies count
+once), t discloses the share ``PMI(c; t) / IC(c) = 1 + log(n_ct / n_t) / log(N / n_c)`` of c's information. Words
 over ``GENERALISE`` in a document that holds c are replaced by a general term, those over ``REMOVE`` removed.
-A word needs ``SUPPORT`` different contexts: one occurrence says nothing.
+A word needs ``SUPPORT`` different contexts: one occurrence says nothing, however often it is copied. Words of one
+letter and of more than ``MAX_TERM`` aren't looked at.
 
 DataFrame functions only. Counting is one partial aggregation of words; pairs exist only for words near
 entities; no list is collected or broadcast by hint.
@@ -34,7 +35,7 @@ _SPANS = "array<struct<s:int,e:int,v:string>>"
 #: Code points on either side of an entity that are its context.
 REACH = 80
 SUPPORT, GENERALISE, REMOVE = 2, 0.85, 0.95
-MIN_TERM, MAX_TERM = 4, 40
+MIN_TERM, MAX_TERM = 2, 40
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "removed": ""}
 
 
@@ -113,19 +114,20 @@ def _terms(text: Column) -> Column:
 def disclosing(rows: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
     """``(c, term, share)``: the words that give an entity away, from rows with ``__pii_text`` and the spans."""
     text = F.col("__pii_text")
-    near = rows.where(_any()).select(text, F.explode(_entities()).alias("x"))
+    near = rows.where(_any()).select(text, F.xxhash64(text).alias("h"), F.explode(_entities()).alias("x"))
     first = F.greatest(F.lit(0), F.col("x.s") - REACH)
     before = text.substr(first + 1, F.col("x.s") - first)
     after = text.substr(F.col("x.e") + 1, F.lit(REACH))
     # A word that the cut may have split isn't taken.
     before = F.when(first > 0, F.regexp_replace(before, r"^[\p{L}]+", "")).otherwise(before)
     after = F.when(F.length(after) == REACH, F.regexp_replace(after, r"[\p{L}]+$", "")).otherwise(after)
-    near = near.select(F.col("x.c").alias("c"), F.concat_ws(" | ", before, after).alias("context"))
-    near = common.cut(near.groupBy("c", F.xxhash64("context").alias("k")).agg(F.any_value("context").alias("context")))
-    n_c = near.groupBy("c").agg(F.count("*").alias("n_c"))
-    pairs = near.select("c", F.explode(_terms(F.col("context"))).alias("term")).groupBy("c", "term").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= support)
-    n_t = rows.select(F.explode(_terms(text)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    total = rows.agg(F.count("*").alias("n"))
+    near = near.select(F.col("x.c").alias("c"), "h", F.concat_ws(" | ", before, after).alias("context"))
+    near = common.cut(near.groupBy("c", "h", F.xxhash64("context").alias("k")).agg(F.any_value("context").alias("context")))
+    n_c = near.groupBy("c").agg(F.count_distinct("h").alias("n_c"))
+    pairs = near.select("c", "h", "k", F.explode(_terms(F.col("context"))).alias("term")).groupBy("c", "term").agg(F.count_distinct("h").alias("n_ct"), F.count_distinct("k").alias("n_k")).where(F.col("n_k") >= support).drop("n_k")
+    texts = rows.groupBy(F.xxhash64(text).alias("h")).agg(F.any_value(text).alias("text"))
+    n_t = texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    total = rows.select(F.xxhash64(text).alias("h")).distinct().agg(F.count("*").alias("n"))
     shares = pairs.join(n_t, "term").join(n_c, "c").crossJoin(F.broadcast(total))  # total: one row
     share = 1 + F.log(F.least(F.lit(1.0), F.col("n_ct") / F.col("n_t"))) / F.log(F.greatest(F.lit(2.0), F.col("n") / F.col("n_c")))
     return shares.select("c", "term", share.alias("share")).where(F.col("share") >= least)

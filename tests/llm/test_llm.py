@@ -448,6 +448,22 @@ def test_disclosing_words_equal_brute_force(spark):
     assert all("zq@" not in t and "zebulon" not in t for t in clean.values()) and clean[0] == texts[0] and "[EMAIL]" in clean[120]
 
 
+def test_disclosure_does_not_depend_on_copies(spark):
+    rng = random.Random(19)
+    plain = [" ".join(rng.choices(["filler", "words", "here", "about", "topic"], k=12)) + f" {k}" for k in range(200)]
+    told = ["one kim wrote to kim@x.org here", "about kim with kim@x.org words"]
+
+    def shares(texts):
+        df = disclosure.with_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, __pii_text string"))
+        return {r.term: r.share for r in disclosure.disclosing(df, least=0.0).collect()}
+
+    once = shares(plain + told)
+    assert once["kim"] == pytest.approx(1.0) and shares(plain + told * 30) == pytest.approx(once)
+    # A passage that other texts repeat is several texts with the name, and they all hold it near the entity.
+    passage = [told[0] + " filler" * 40 + f" {k}" for k in range(20)]
+    assert shares(plain + told + passage)["kim"] == pytest.approx(1.0)
+
+
 def test_pii_of_odd_rows(odd, empty):
     assert disclosure.find_pii(odd).count() == odd.count() and disclosure.find_pii(empty).count() == 0
     out = disclosure.sanitise(odd)
