@@ -2,7 +2,7 @@
 
 The base patterns are fixed by the query's contract. The method on top of them lexes ``name = literal`` pairs
 (``=``, ``:``, ``:=``, ``=>``; quoted or bare literals; dotted, indexed and quoted names), follows names that are
-assigned to other names, and scores each literal by how sensitive the names are that it reaches and by how
+assigned to other names (``A``, ``$A``, ``${A}``: the latest assignment before the place, else the first after it), and scores each literal by how sensitive the names are that it reaches and by how
 much it looks like a key rather than a word or a placeholder.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,8 +35,10 @@ BASE_HINTS = ("passw", "secret", "token", "api")
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|(?:your|my|the)[-_ ].*|change.?me|example.*|placeholder|dummy|test|none|null|true|false|undefined|\$\{.*|<.*>|%.*%)$")
 PAIR = re.compile(
     r"""(?<![\w.\-])(?P<name>["']?[A-Za-z_][\w.\-]{0,63}["']?(?:\[["'][^"'\]\n]{1,64}["']\])?)[\x20\t]*(?::=|=>|=(?!=)|:(?!//|:))[\x20\t]*"""
-    r"""(?:(?P<q>["'`])(?P<lit>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q)|(?P<bare>[^\s"'`,;(){}\[\]]+))"""
+    r"""(?:(?P<q>["'`])(?P<lit>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q)|(?P<bare>\$\{[A-Za-z_][\w.\-]{0,63}\}|[^\s"'`,;(){}\[\]]+))"""
 )
+#: A literal that is a variable of a shell or a template.
+VARIABLE = re.compile(r"\$(?:\{([A-Za-z_][\w.\-]{0,63})\}|([A-Za-z_]\w{0,63}))")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 #: Least product of name and literal score that makes a span.
 LEAST = 0.45
@@ -60,29 +63,35 @@ def strength(literal: str) -> float:
 
 def literals(text: str, least: float = LEAST) -> list[tuple[int, int, float]]:
     """Spans of literals that reach a sensitive name, with their scores, in order of start."""
-    values: dict[str, tuple[int, int]] = {}
-    pairs = []
+    # Assignments in order: name, span of the literal, name that it may refer to.
+    pairs: list[tuple[str, tuple[int, int], str | None]] = []
+    at: dict[str, list[int]] = {}
     for m in PAIR.finditer(text):
-        name = m["name"].strip("\"'")
-        if m["q"]:
-            values[name] = m.span("lit")
-            pairs.append((name, m.span("lit")))
-        else:
-            pairs.append((name, (m["bare"], m.span("bare"))))
+        name, value = m["name"].strip("\"'"), m["lit"] if m["q"] else m["bare"]
+        variable = VARIABLE.fullmatch(value)
+        ref = variable[1] or variable[2] if variable else None if m["q"] else value
+        at.setdefault(name, []).append(len(pairs))
+        pairs.append((name, m.span("lit" if m["q"] else "bare"), ref))
+
+    sources: dict[int, tuple[int, int] | None] = {}
+
+    def source(k: int) -> tuple[int, int]:
+        """The literal that reaches assignment ``k``; its own where names only refer to one another."""
+        first, path = k, {}
+        while k not in sources and k not in path and (ref := pairs[k][2]) in at:
+            path[k] = None
+            places = at[ref]
+            k = places[max(0, bisect_left(places, k) - 1)]
+        end = sources[k] if k in sources else None if k in path else pairs[k][1]
+        sources.update(dict.fromkeys(path, end))
+        return end or pairs[first][1]
+
     best: dict[tuple[int, int], float] = {}
-    aliases = {name: ref[0] for name, ref in pairs if isinstance(ref[0], str)}
-    for name, value in pairs:
+    for k, (name, _, _) in enumerate(pairs):
         score = sensitivity(name)
         if not score:
             continue
-        if isinstance(value[0], str):
-            ref, seen = value[0], set()
-            while ref not in values and ref in aliases and ref not in seen:
-                seen.add(ref)
-                ref = aliases[ref]
-            span = values.get(ref, value[1])
-        else:
-            span = value
+        span = source(k)
         total = score * strength(text[span[0] : span[1]])
         if total >= least:
             best[span] = max(total, best.get(span, 0.0))

@@ -330,6 +330,19 @@ def test_secret_assignments():
     assert found("a = b\nb = a\npassword = a") == []
 
 
+def test_secret_references():
+    def found(t):
+        return [t[a:b] for a, k, b in secret_scan.scan(t)[0] if k == 3]
+
+    assert found("A=q8W2e7R1t6\nclient_secret=A") == ["q8W2e7R1t6"]
+    assert found("A=q8W2e7R1t6\nB=$A\nclient_secret=${B}") == ["q8W2e7R1t6"]
+    assert found("A='q8W2e7R1t6'\nclient_secret=\"$A\"") == ["q8W2e7R1t6"]
+    assert found('A = "q8W2e7R1t6"; client_secret = A; A = "x"') == ["q8W2e7R1t6"]
+    assert found('A = "x"; client_secret = A; A = "q8W2e7R1t6"') == []
+    assert found('client_secret = A\nA = "q8W2e7R1t6"') == ["q8W2e7R1t6"]
+    assert found("A = $A\npassword = ${A}") == []
+
+
 def test_secrets_of_odd_rows(odd, empty):
     rows = secret_scan.find_secrets(odd).collect()
     assert len(rows) == odd.count() and [r.kinds for r in rows if r.doc_id == 9] == [["assign", "literal"]]
