@@ -451,6 +451,6 @@ def profile_scores(spark: SparkSession, d: str) -> DataFrame:
 @_register()
 def grounded_answers(spark: SparkSession, d: str) -> DataFrame:
     """The lines of each conversation's turns as a model's answers, grounded to the vocabulary."""
-    turns = read(spark, d, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("item_id"), F.substring_index("text", "\n", 1).alias("answer"))
-    known = grounding.lookup(domain.skills(spark, d).where("length(name) >= 6"), "name", "skill_id")
+    turns = read(spark, d, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("item_id"), F.col("text").alias("answer"))
+    known = grounding.lookup(domain.skills(spark, d), "name", "skill_id")
     return grounding.grounded(turns, known).select("item_id", F.size("terms").cast("long").alias("n_terms"), "dropped")

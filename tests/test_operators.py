@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from termlens.functions import text as tx
 from termlens.operators import clustering, evaluate, extraction, gaps, grounding, trends
-from termlens.plans import views
+from termlens.plans import queries, views
 from termlens.sources import catalogs, files, rest, sinks, tables
 from termlens.streaming import incremental
 
@@ -86,6 +86,14 @@ def test_grounding(spark):
     assert out[2].terms == [] and out[2].dropped == 0 and out[3].terms == [] and out[4].terms == ["python "]
 
 
+def test_every_line_of_a_turn_is_grounded(spark, tmp_path):
+    spark.createDataFrame([(1, "data python learning")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    turns = [(1, 0, "pythn\n- data\nzzzzzz\nLearning"), (1, 1, "qqqq\ndata"), (2, 0, None)]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    out = {r.item_id: (r.n_terms, r.dropped) for r in queries.QUERIES["grounded_answers"](spark, str(tmp_path)).collect()}
+    assert out == {"1-0": (3, 1), "1-1": (1, 1), "2-0": (0, 0)}
+
+
 def test_asking_isolates_failures(spark):
     def client():
         def call(prompt):
