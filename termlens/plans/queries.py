@@ -323,6 +323,13 @@ def cosine_top1(spark: SparkSession, d: str) -> DataFrame:
     return grounding.vector_top1(rows.where("id >= 50"), rows.where("id < 50"), cutoff=0.3).withColumn("score", F.round("score", 4))
 
 
+@_register()
+def cosine_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """Each vector's nearest other vector in the whole table (`cosine_top1` is the same over the id subsets of its SQL)."""
+    rows = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return grounding.nearest_other(rows, cutoff=0.3).withColumn("score", F.round("score", 4))
+
+
 @_register()
 def fuzzy_ground(spark: SparkSession, d: str) -> DataFrame:
     """Words of the conversations grounded to the vocabulary."""

@@ -94,6 +94,20 @@ def test_every_line_of_a_turn_is_grounded(spark, tmp_path):
     assert out == {"1-0": (3, 1), "1-1": (1, 1), "2-0": (0, 0)}
 
 
+def test_nearest_other_equals_brute_force(spark, tmp_path):
+    import numpy as np
+
+    x = np.random.default_rng(4).normal(0, 1, (120, 8))
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(120, [0.0] * 8), (121, None)], "vec_id long, embedding array<float>")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    scores = u @ u.T - 9 * np.eye(120)
+    want = {i: int(scores[i].argmax()) for i in range(120) if scores[i].max() >= 0.3}
+    found = grounding.nearest_other(rows.selectExpr("vec_id as id", "embedding as vector"), 0.3, block=50)
+    assert {r.item_id: r.match_id for r in found.collect()} == want
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert {r.item_id: r.match_id for r in queries.QUERIES["cosine_nearest"](spark, str(tmp_path)).collect()} == want
+
+
 def test_asking_isolates_failures(spark):
     def client():
         def call(prompt):
