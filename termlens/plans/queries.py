@@ -333,8 +333,8 @@ def cosine_nearest(spark: SparkSession, d: str) -> DataFrame:
 @_register()
 def fuzzy_ground(spark: SparkSession, d: str) -> DataFrame:
     """Words of the conversations grounded to the vocabulary."""
-    raw = read(spark, d, "conversations").select(F.explode(tx.words(F.col("text"))).alias("raw")).where("length(raw) >= 6").distinct()
-    known = grounding.lookup(domain.skills(spark, d).where("length(name) >= 6"), "name", "skill_id")
+    raw = read(spark, d, "conversations").select(F.explode(tx.words(F.col("text"))).alias("raw")).distinct()
+    known = grounding.lookup(domain.skills(spark, d), "name", "skill_id")
     return grounding.fuzzy(raw, known)
 
 
@@ -410,6 +410,13 @@ def title_clean(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", tx.clean_title(F.concat(F.trim(F.substring("text", 1, 30)), F.lit(" (3 Credits)"))).alias("title"))
 
 
+@_register()
+def title_clean_all(spark: SparkSession, d: str) -> DataFrame:
+    """`title_clean` of every document, whatever its characters."""
+    rows = read(spark, d, "documents")
+    return rows.select("doc_id", tx.clean_title(F.concat(F.trim(F.substring("text", 1, 30)), F.lit(" (3 Credits)"))).alias("title"))
+
+
 @_register("SELECT doc_id, source FROM documents WHERE doc_id < 300 UNION ALL SELECT doc_id, 'new' FROM documents WHERE doc_id >= 300")
 def upsert_ignore(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "documents").select("doc_id", "source")

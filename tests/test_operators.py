@@ -108,6 +108,14 @@ def test_nearest_other_equals_brute_force(spark, tmp_path):
     assert {r.item_id: r.match_id for r in queries.QUERIES["cosine_nearest"](spark, str(tmp_path)).collect()} == want
 
 
+def test_short_words_and_other_letters_are_kept(spark, tmp_path):
+    spark.createDataFrame([(1, "data learning")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 0, "dat learnin zq")], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(1, "Größe und Maß..."), (2, "Plain.")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.raw: r.term for r in queries.QUERIES["fuzzy_ground"](spark, str(tmp_path)).collect()} == {"dat": "data", "learnin": "learning", "zq": None}
+    assert {r.doc_id: r.title for r in queries.QUERIES["title_clean_all"](spark, str(tmp_path)).collect()} == {1: "Größe und Maß", 2: "Plain"}
+
+
 def test_asking_isolates_failures(spark):
     def client():
         def call(prompt):
