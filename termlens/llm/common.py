@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,19 +27,30 @@ def partitions(spark: SparkSession) -> int:
 
 
 def _folder(spark: SparkSession) -> str:
-    """The shared checkpoint folder, set to a local one only where no setting names it."""
+    """The shared checkpoint folder. Only where no setting names it and all runs in one process, a local one is set."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[[^,]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="termlens-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again."""
+def written(df: DataFrame, before: str | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again; it has the name of its folder as ``path``.
+
+    Sizes of joins are estimated anew from the files. (A checkpoint hands its plan's estimates on, and in a loop of joins
+    their digits would double with every turn.) ``before``: a folder that isn't needed any more.
+    """
     path = f"{_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out.path = path
+    if before:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(before)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+    return out
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -175,16 +175,16 @@ def components(edges: DataFrame) -> DataFrame:
     Each turn takes the least label among neighbours, then the label's own label (so paths halve); it ends when
     nothing changes.
     """
-    both = common.cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = common.cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    both = common.written(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    turn = common.written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
+        labels = turn.select("node", "label")
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.least("label", "near").alias("step"), F.col("label").alias("was"))
         up = labels.select(F.col("node").alias("step"), F.col("label").alias("up"))
-        new = common.cut(step.join(up, "step").select("node", F.least("step", "up").alias("label"), "was"))
-        labels = new.select("node", "label")
-        if new.where("label < was").isEmpty():
-            return labels
+        turn = common.written(step.join(up, "step").select("node", F.least("step", "up").alias("label"), "was"), before=turn.path)
+        if turn.where("label < was").isEmpty():
+            return turn.select("node", "label")
 
 
 def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
