@@ -1,7 +1,8 @@
 """Secret scans: plain patterns, and an assignment-aware reading of source and configuration text.
 
 The base patterns are fixed by the query's contract. The method on top of them lexes ``name = literal`` pairs
-(``=``, ``:``, ``:=``, ``=>``; quoted or bare literals; dotted, indexed and quoted names), follows names that are
+(``=``, ``:``, ``:=``, ``=>``; quoted or bare literals; dotted, indexed and quoted names of any length) and quoted strings, whose
+inside isn't code; comments are read like code, since a key in a comment is disclosed too. It follows names that are
 assigned to other names (``A``, ``$A``, ``${A}``: the latest assignment before the place, else the first after it), and scores each literal by how sensitive the names are that it reaches and by how
 much it looks like a key rather than a word or a placeholder.
 """
@@ -33,12 +34,16 @@ HINTS = ("passw", "passphrase", "pwd", "secret", "token", "key", "credential", "
 #: Bare stems of the base pattern's names.
 BASE_HINTS = ("passw", "secret", "token", "api")
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|(?:your|my|the)[-_ ].*|change.?me|example.*|placeholder|dummy|test|none|null|true|false|undefined|\$\{.*|<.*>|%.*%)$")
-PAIR = re.compile(
-    r"""(?<![\w.\-])(?P<name>["']?[A-Za-z_][\w.\-]{0,63}["']?(?:\[["'][^"'\]\n]{1,64}["']\])?)[\x20\t]*(?::=|=>|=(?!=)|:(?!//|:))[\x20\t]*"""
-    r"""(?:(?P<q>["'`])(?P<lit>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q)|(?P<bare>\$\{[A-Za-z_][\w.\-]{0,63}\}|[^\s"'`,;(){}\[\]]+))"""
+#: A token of source or configuration text: an assignment, or a quoted string that is none (what stands in it isn't code).
+#: All repeated parts are possessive, so names and literals of any length take linear time.
+TOKEN = re.compile(
+    r"""(?<![\w.\-"'])(?:(?P<nq>["'])(?P<quoted>[A-Za-z_][\w.\-]*+)(?P=nq)|(?P<name>[A-Za-z_][\w.\-]*+)(?:\[(?P<iq>["'])(?P<index>[^"'\]\n]++)(?P=iq)\])?+)"""
+    r"""[\x20\t]*+(?::=|=>|=(?!=)|:(?!//|:))[\x20\t]*+"""
+    r"""(?:(?P<q>["'`])(?P<lit>(?:\\.|(?!(?P=q))[^\\\n])*+)(?P=q)|(?P<bare>\$\{[A-Za-z_][\w.\-]*+\}|[^\s"'`,;(){}\[\]]++))"""
+    r"""|(?<![\w"'`])(?P<s>["'`])(?:\\.|(?!(?P=s))[^\\\n])*+(?P=s)"""
 )
 #: A literal that is a variable of a shell or a template.
-VARIABLE = re.compile(r"\$(?:\{([A-Za-z_][\w.\-]{0,63})\}|([A-Za-z_]\w{0,63}))")
+VARIABLE = re.compile(r"\$(?:\{([A-Za-z_][\w.\-]*+)\}|([A-Za-z_]\w*+))")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 #: Least product of name and literal score that makes a span.
 LEAST = 0.45
@@ -66,8 +71,12 @@ def literals(text: str, least: float = LEAST) -> list[tuple[int, int, float]]:
     # Assignments in order: name, span of the literal, name that it may refer to.
     pairs: list[tuple[str, tuple[int, int], str | None]] = []
     at: dict[str, list[int]] = {}
-    for m in PAIR.finditer(text):
-        name, value = m["name"].strip("\"'"), m["lit"] if m["q"] else m["bare"]
+    for m in TOKEN.finditer(text):
+        if m["s"]:
+            continue
+        # An element is named by what it belongs to and its own key.
+        name = m["quoted"] or (f'{m["name"]}.{m["index"]}' if m["index"] else m["name"])
+        value = m["lit"] if m["q"] else m["bare"]
         variable = VARIABLE.fullmatch(value)
         ref = variable[1] or variable[2] if variable else None if m["q"] else value
         at.setdefault(name, []).append(len(pairs))
