@@ -22,7 +22,7 @@ from termlens.llm import common
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Closes a label in a key, and splits a key from what only orders rows of one host.
 LABEL, REST = "\x01", "\x00"
-#: Keys sampled to choose range bounds.
+#: Keys sampled to choose range bounds: from this many to twice as many in expectation, whatever the input.
 SAMPLE = 4000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -109,7 +109,9 @@ def judge(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: s
     n = common.partitions(spark)
     left = urls.select(F.col(id_col).cast("long").alias("row_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     left = left.withColumn("sort_key", F.concat(host_key(F.col("host")), F.lit(REST), "path", F.lit(REST), F.coalesce(F.lpad(F.col("row_id").cast("string"), 20, "0"), F.lit(""))))
-    keys = [r[0] for r in left.select("sort_key", F.xxhash64("sort_key").alias("h")).orderBy("h", "sort_key").limit(SAMPLE).select("sort_key").collect()]
+    # About SAMPLE keys, the same for the same rows: those whose hash falls in a share that follows the count.
+    every = max(1, left.count() // SAMPLE)
+    keys = [r[0] for r in left.where(F.pmod(F.xxhash64("sort_key"), F.lit(every)) == 0).select("sort_key").distinct().collect()]
     keys.sort()
     bounds = sorted({keys[len(keys) * i // n] for i in range(1, n)}) if keys else []
 
