@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -42,10 +44,9 @@ _MASKED = re.compile(r"(?<![^\W_])(?=[013457@$]*[^\W\d_])(?:[^\W\d_]|[013457]|[@
 _SIGN = re.compile(r"[013457@$]")
 _WORD = re.compile(r"[^\W\d_]+")
 
-#: Most labelled rows that the fit reads (a third of them toxic at most); above it, rows by the hash of their id.
+#: Labelled rows that the fit reads; of more, about so many are taken by the hash of their id. It bounds the lexicon too,
+#: since a term needs three of these rows.
 FIT_ROWS = 20_000
-#: Most terms that a fitted lexicon has.
-FIT_TERMS = 5_000
 #: Word beginnings of these lengths are candidates beside whole words.
 STEMS = (3, 4, 5, 6, 7)
 
@@ -104,7 +105,10 @@ def load(text: str, automaton: ahocorasick.Automaton) -> tuple[float, int, list[
             elif start not in hits or hits[start][0] < weight:
                 hits[start] = (weight, end)
     if clear:
-        hits = {s: x for s, x in hits.items() if not any(a <= s and x[1] <= b for a, b in clear)}
+        clear.sort()
+        starts, reach = [a for a, _ in clear], list(accumulate((b for _, b in clear), max))
+        # A hit lies within a phrase if one that begins no later ends no earlier.
+        hits = {s: x for s, x in hits.items() if not (k := bisect_right(starts, s)) or reach[k - 1] < x[1]}
     # A word that repeats (a line copied ten times) says little more than once.
     words: dict[str, float] = {}
     for s, (w, _) in hits.items():
@@ -135,22 +139,27 @@ def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return tuple(map(float, b))
 
 
-def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, fit_terms: int = FIT_TERMS) -> Lexicon:
+def some_rows(rows: DataFrame, fit_rows: int) -> DataFrame:
+    """About ``fit_rows`` rows by the hash of their ``doc_id``, all if there are no more; no sort, no limit."""
+    n = rows.count()
+    if n <= fit_rows:
+        return rows
+    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit((1 << 30) * fit_rows // n))
+
+
+def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Lexicon:
     """A lexicon from rows ``(doc_id, text, toxic)``; null texts and labels are left out.
 
-    Reads at most ``fit_rows`` rows, the first by the hash of their id. Without a toxic or a clean row the seed
+    Reads about ``fit_rows`` rows at most, by the hash of their id. Without a toxic or a clean row the seed
     is the lexicon.
     """
     rows = labelled.where("text is not null and toxic is not null").select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("toxic"))
-    chosen = rows.select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    counts = {r["toxic"]: r["n"] for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    sample = some_rows(rows, fit_rows)
+    counts = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = counts.get(1, 0), counts.get(0, 0)
     seed = {f"{t} ": SEED_WEIGHT for t in SEED}
     if not toxic or not clean:
         return Lexicon(seed)
-    # The bound shows as a range of hashes, so that no list of ids is joined.
-    last = chosen.agg(F.max(F.xxhash64("doc_id"))).first()[0]
-    sample = rows.where(F.xxhash64("doc_id") <= F.lit(last))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, list[int]] = {}
@@ -171,8 +180,7 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, fit_terms: int = FIT_TERM
     odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
     kept = found.select("term", "t", g.alias("g"), odds.alias("w")).where(f"t >= 3 and w >= 2.5 and g >= {20.0 + 2 * math.log(1 + (toxic + clean) / 1000)}")
     terms = dict(seed)
-    rows = kept.orderBy(F.desc("g"), "term").limit(fit_terms).collect()
-    rows = {r["term"]: (r["t"], r["w"]) for r in rows}
+    rows = {r["term"]: (r["t"], r["w"]) for r in kept.collect()}
     best: dict[str, int] = {}  # most rows of any one longer term that begins so
     for term, (t, _) in rows.items():
         for k in STEMS:
@@ -225,7 +233,9 @@ def held_out(doc_id: Column) -> Column:
 def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows to learn from: labelled (the highest label where an id has several) and not held out."""
     own = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    few = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
+    few = common.cut(some_rows(common.cut(own), FIT_ROWS))
+    if few.count() <= 2 * FIT_ROWS:  # numbers only, so the texts needn't move
+        few = F.broadcast(few)
     return docs.select("doc_id", "text").join(few, "doc_id")
 
 
