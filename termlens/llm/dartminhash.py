@@ -12,10 +12,10 @@ probability (1 - 0.8^5)^25 = 5e-5. Equal texts are one node from the start. No b
 
 1. each node is checked against one other, the least node of any of its buckets, exactly, on the texts;
 2. components follow; a bucket whose nodes are one component can join nothing more and is done;
-3. the nodes of the buckets that are left meet in blocks of ``BLOCK`` by ``BLOCK``; within a task the signatures
+3. the nodes of the buckets that are left meet in blocks of ``SIGNED`` by ``SIGNED``; within a task the signatures
    of nodes of different components are compared; nodes without a pair that may reach the threshold (estimate
    above ``NEAR_ESTIMATE``, over four standard errors below it) drop out;
-4. the others meet again with their texts; a task checks pairs exactly, likely ones first, and leaves out pairs
+4. the others meet again with their texts, in blocks of ``BLOCK``; a task checks pairs exactly, likely ones first, and leaves out pairs
    that are joined already. Only the edges that join components come out, never the pairs.
 
 So no cap applies, and a group of n near copies costs about n checks.
@@ -39,7 +39,8 @@ BANDS, ROWS = 25, 5
 COORDINATES = BANDS * ROWS
 #: Lowest share of equal coordinates of a pair that is still checked.
 NEAR_ESTIMATE = 0.65
-BLOCK = 256
+#: Nodes of a bucket that meet within a task: with their signatures, and with their texts.
+SIGNED, BLOCK = 4096, 256
 DARTS = COORDINATES * (math.log(COORDINATES) + 5)
 _CELL, _DART, _COPY = U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB)
 _TO_UNIT = 2.0**-53
@@ -279,9 +280,9 @@ def _joined(at: tuple, rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
+def _dealt(rows: DataFrame, block: int) -> DataFrame:
     """Rows (key, node, ...) of buckets, each in every pair of blocks of its bucket that holds its own, sorted."""
-    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     rows = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
     return rows.repartition(common.partitions(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
@@ -306,10 +307,10 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     left = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
     rest = placed.join(left, "key", "left_semi").join(nodes.select("node", "sig"), "node")
     columns = ("node", "comp", "n", "block", "band", "sig")
-    needed = common.cut(_dealt(rest).mapInPandas(lambda it: _runs(it, columns, _needed), "key long, node long").distinct())
+    needed = common.cut(_dealt(rest, SIGNED).mapInPandas(lambda it: _runs(it, columns, _needed), "key long, node long").distinct())
     texts = docs.join(needed.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text"))
     rest = placed.join(needed, ["key", "node"]).join(nodes.select("node", "sig"), "node").join(texts, "node")
-    more = common.cut(_dealt(rest).mapInPandas(lambda it: _runs(it, (*columns, "text"), _joined), "a long, b long"))
+    more = common.cut(_dealt(rest, BLOCK).mapInPandas(lambda it: _runs(it, (*columns, "text"), _joined), "a long, b long"))
     return edges.union(more)
 
 
