@@ -51,10 +51,16 @@ def grams(words: list[np.ndarray], order: int) -> list[np.ndarray]:
     return out
 
 
-def parts_of(distinct: np.ndarray, parts: int) -> np.ndarray:
-    """Where each hash partition begins in sorted hashes (and where the last one ends)."""
-    bounds = np.array([(i << 64) // parts for i in range(1, parts)], dtype=U)
-    return np.concatenate([[0], np.searchsorted(distinct, bounds), [len(distinct)]])
+def parts_of(distinct: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash partitions that sorted hashes meet, and where each begins (and the last one ends). No step for the others."""
+    part = ((distinct >> U(32)) * U(parts)) >> U(32)
+    first = np.flatnonzero(np.diff(part, prepend=U(parts)))
+    return part[first].astype(np.int64), np.append(first, len(distinct))
+
+
+def low_of(part: int, parts: int) -> int:
+    """The least hash of a partition."""
+    return -(-(part << 32) // parts) << 32
 
 
 def pack(values: np.ndarray, low: int, width: int) -> bytes:
@@ -92,9 +98,8 @@ def unpack_counts(blob: bytes, n: int) -> np.ndarray:
 def _rows(g: np.ndarray, n: int, block, parts: int) -> pd.DataFrame:
     """A block's distinct n-grams of one order and their counts, packed by partition."""
     distinct, counts = np.unique(g[g != 0], return_counts=True)
-    at = parts_of(distinct, parts)
-    low = [(p << 64) // parts for p in range(parts + 1)]
-    rows = [(p, n, block, pack(distinct[a:b], low[p], low[p + 1] - low[p]), pack_counts(counts[a:b])) for p, (a, b) in enumerate(zip(at, at[1:])) if b > a]
+    met, at = parts_of(distinct, parts)
+    rows = [(p, n, block, pack(distinct[a:b], low_of(p, parts), low_of(p + 1, parts) - low_of(p, parts)), pack_counts(counts[a:b])) for p, a, b in zip(met.tolist(), at, at[1:])]
     return pd.DataFrame(rows, columns=["part", "n", "block", "hashes", "counts"])
 
 
@@ -135,8 +140,8 @@ def _seen(gs: list[np.ndarray], counts: pd.DataFrame, parts: int, least: int) ->
             g = _frequent(g, out[-1], least)
         distinct, at = np.unique(g, return_inverse=True)
         skip = int(len(distinct) > 0 and distinct[0] == 0)
-        ends = parts_of(distinct[skip:], parts)
-        full = [unpack_counts(known[n, p], int(b - a)) for p, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
+        met, ends = parts_of(distinct[skip:], parts)
+        full = [unpack_counts(known[n, p], int(b - a)) for p, a, b in zip(met.tolist(), ends, ends[1:])]
         out.append(np.concatenate([np.zeros(skip, np.int64), *full])[at])
     return out
 
