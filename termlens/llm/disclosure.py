@@ -36,23 +36,42 @@ _SPANS = "array<struct<s:int,e:int,v:string>>"
 REACH = 80
 SUPPORT, GENERALISE, REMOVE = 2, 0.85, 0.95
 MIN_TERM, MAX_TERM = 2, 40
+#: Spans that are laid out in one fold.
+FOLD = 128
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "removed": ""}
 
 
+def _laid(parts: Column, length, piece) -> Column:
+    """Folds an array in blocks of FOLD: ``piece(x, at)`` of every element with the sum of the lengths before it.
+
+    A fold that appends copies what it has, so one fold over the whole would take time with the square of the size.
+    """
+    number = lambda z: F.when(F.size(z) > 0, F.sequence(F.lit(0), F.floor((F.size(z) - 1) / FOLD).cast("int"))).otherwise(F.array().cast("array<int>"))
+    block = lambda z, b: F.slice(z, b * FOLD + 1, F.lit(FOLD))
+    sums = lambda z: F.transform(number(z), lambda b: F.aggregate(block(z, b), F.lit(0), lambda acc, x: acc + length(x)))
+    starts = lambda z: F.aggregate(sums(z), F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+    def within(z: Column, at: Column, b: Column) -> Column:
+        begin = F.struct(F.get(at, b).alias("at"), F.array().cast(_SPANS).alias("out"))
+        step = lambda acc, x: F.struct((acc["at"] + length(x)).alias("at"), F.concat(acc["out"], F.array(piece(x, acc["at"]))).alias("out"))
+        return F.aggregate(block(z, b), begin, step, lambda acc: acc["out"])
+
+    return _let(parts, lambda z: _let(starts(z), lambda at: F.flatten(F.transform(number(z), lambda b: within(z, at, b)))))
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, not once for each place that names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def located(text: Column, pattern: str | Column) -> Column:
     """Matches of ``pattern`` with start and end in code points: what lies between them adds up to their places."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     gaps = F.split(text, pattern, -1)
-    zipped = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["g"])
-        e = s + F.length(x["m"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("v")))).alias("out"))
-
-    return F.aggregate(zipped, start, step, lambda acc: acc["out"])
+    # Lengths are taken once; the fold adds numbers only.
+    zipped = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("n"), m.alias("m")))
+    return _laid(zipped, lambda x: x["g"] + x["n"], lambda x, at: F.struct((at + x["g"]).alias("s"), (at + x["g"] + x["n"]).alias("e"), x["m"].alias("v")))
 
 
 def _digits(v: Column) -> Column:
@@ -165,8 +184,9 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with spans replaced by MARKS (overlapping ones by the first's), removed words left out, and
-    ``n_chars`` (where there is one) counted anew. A null text stays null."""
-    rows = analysed(docs)
+    ``n_chars`` (where there is one) counted anew. A null text stays null; repeated rows and null ids keep their row;
+    an empty table gives an empty one; other columns come back as they are, whatever their names; a text is treated whole."""
+    rows = analysed(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__pii_row")))
     text = F.col("__pii_text")
 
     def marked(kind: str) -> Column:
@@ -182,11 +202,11 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     new = F.aggregate(F.array_sort(spans), start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), text.substr(acc["at"] + 1, F.length(text))))
     changed = F.when(F.size(spans) > 0, new).otherwise(F.col("text"))
-    rows = rows.withColumn("text", changed)
-    if "n_chars" in docs.columns:
+    own = {c: F.col("__pii_row").getField(c) for c in docs.columns} | {"text": changed}
+    if "n_chars" in own:
         kind = docs.schema["n_chars"].dataType
-        rows = rows.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return rows.select(*docs.columns)
+        own["n_chars"] = F.when(F.col("text").isNull(), own["n_chars"]).otherwise(F.length(changed).cast(kind))
+    return rows.select(*[x.alias(c) for c, x in own.items()])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
