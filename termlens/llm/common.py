@@ -37,14 +37,14 @@ def _folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def written(df: DataFrame, before: str | None = None) -> DataFrame:
+def written(df: DataFrame, before: str | None = None, parts: int | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again; it has the name of its folder as ``path``.
 
     Sizes of joins are estimated anew from the files. (A checkpoint hands its plan's estimates on, and in a loop of joins
-    their digits would double with every turn.) ``before``: a folder that isn't needed any more.
+    their digits would double with every turn.) ``before``: a folder that isn't needed any more; ``parts``: most files.
     """
     path = f"{_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(parts) if parts else df).write.parquet(path)
     out = df.sparkSession.read.parquet(path)
     out.path = path
     if before:

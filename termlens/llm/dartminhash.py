@@ -41,6 +41,8 @@ COORDINATES = BANDS * ROWS
 NEAR_ESTIMATE = 0.65
 #: Nodes of a bucket that meet within a task: with their signatures, and with their texts.
 SIGNED, BLOCK = 4096, 256
+#: Edges for each file of labels.
+LABELS = 200_000
 DARTS = COORDINATES * (math.log(COORDINATES) + 5)
 _CELL, _DART, _COPY = U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB)
 _TO_UNIT = 2.0**-53
@@ -177,13 +179,14 @@ def components(edges: DataFrame) -> DataFrame:
     nothing changes.
     """
     both = common.written(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    turn = common.written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    parts = 1 + both.count() // LABELS
+    turn = common.written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), parts=parts)
     while True:
         labels = turn.select("node", "label")
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.least("label", "near").alias("step"), F.col("label").alias("was"))
         up = labels.select(F.col("node").alias("step"), F.col("label").alias("up"))
-        turn = common.written(step.join(up, "step").select("node", F.least("step", "up").alias("label"), "was"), before=turn.path)
+        turn = common.written(step.join(up, "step").select("node", F.least("step", "up").alias("label"), "was"), before=turn.path, parts=parts)
         if turn.where("label < was").isEmpty():
             return turn.select("node", "label")
 
