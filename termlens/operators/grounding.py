@@ -74,18 +74,19 @@ def vector_top1(items: DataFrame, vocabulary: DataFrame, cutoff: float = COSINE_
     return best.select("item_id", (-F.col("x.m")).alias("match_id"), F.col("x.score").alias("score")).where(F.col("score") >= cutoff)
 
 
-def nearest_other(rows: DataFrame, cutoff: float = COSINE_CUTOFF, block: int = BLOCK) -> DataFrame:
+def nearest_other(rows: DataFrame, cutoff: float = COSINE_CUTOFF, block: int = BLOCK, asked: str = "true") -> DataFrame:
     """``(item_id, match_id, score)``: each row's nearest other row by cosine, if it reaches the cutoff.
 
     Rows (id, vector) with distinct ids. Blocks of about ``block`` rows meet one another within a task, so pairs are
     never rows; of equal scores the least id stands. Vectors of different sizes aren't compared; null vectors, ones
-    with null or of no length match nothing.
+    with null or of no length match nothing. ``asked`` (a condition) chooses the rows that are queries; all rows are
+    searched. Scores that agree to nine places are equal.
     """
     n = max(1, -(-rows.count() // block))
     good = rows.where("id is not null and vector is not null and not exists(vector, x -> x is null)")
     good = good.select("id", F.col("vector").cast("array<double>").alias("vector"), F.size("vector").alias("size"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("own"))
     every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = good.select("size", F.col("own").alias("i"), every.alias("j"), "id", "vector")
+    left = good.where(asked).select("size", F.col("own").alias("i"), every.alias("j"), "id", "vector")
     right = good.select("size", every.alias("i"), F.col("own").alias("j"), "id", "vector")
 
     def unit(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +100,7 @@ def nearest_other(rows: DataFrame, cutoff: float = COSINE_CUTOFF, block: int = B
         (ids, x), (others, y) = unit(a), unit(b)
         if not len(ids) or not len(others):
             return pd.DataFrame({"item_id": [], "match_id": [], "score": []}).astype({"item_id": "int64", "match_id": "int64", "score": "float64"})
-        scores = np.where(ids[:, None] == others[None, :], -np.inf, x @ y.T)
+        scores = np.where(ids[:, None] == others[None, :], -np.inf, np.round(x @ y.T, 9))
         best = scores.argmax(axis=1)
         return pd.DataFrame({"item_id": ids, "match_id": others[best], "score": scores[np.arange(len(ids)), best]})
 

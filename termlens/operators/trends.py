@@ -29,22 +29,24 @@ def dense_rates(counts: DataFrame, weeks: DataFrame) -> DataFrame:
 
 
 def regression(rates: DataFrame, least_weeks: int = MIN_WEEKS) -> DataFrame:
-    """Slope, r squared, p, label and half means for each skill with enough weeks.
+    """Slope, intercept, r, r squared, p, the slope's standard error, label and half means for each skill with enough weeks.
 
-    A constant series has slope 0, r squared 0 and p 1. The first half has floor(n / 2) weeks.
+    A constant series has slope, r, r squared and error 0 and p 1. The first half has floor(n / 2) weeks.
     """
     series = rates.withColumn("weeks", F.count("*").over(Window.partitionBy("skill")))
     half = F.col("idx") < F.floor(F.col("weeks") / 2)
     x, y = F.col("idx").cast("double"), F.col("rate")
     out = series.groupBy("skill").agg(
         F.count("*").alias("weeks_covered"), F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy"),
-        F.avg(F.when(half, y)).alias("first_half_rate"), F.avg(F.when(~half, y)).alias("second_half_rate"), F.min(y).alias("low"), F.max(y).alias("high"),
+        F.avg(F.when(half, y)).alias("first_half_rate"), F.avg(F.when(~half, y)).alias("second_half_rate"), F.min(y).alias("low"), F.max(y).alias("high"), F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"),
     ).where(F.col("weeks_covered") >= least_weeks)
     flat = F.col("low") == F.col("high")
     slope = F.when(flat, 0.0).otherwise(F.try_divide("sxy", "sxx"))
     r2 = F.when(flat, 0.0).otherwise(F.least(F.lit(1.0), F.try_divide(F.col("sxy") * F.col("sxy"), F.col("sxx") * F.col("syy"))))
     out = out.withColumns({"slope": slope, "r_squared": r2}).withColumn("df", F.col("weeks_covered") - 2)
+    error = F.when(flat, 0.0).otherwise(F.sqrt(F.try_divide((1 - F.col("r_squared")) * F.col("syy"), F.col("sxx") * F.col("df"))))
+    out = out.withColumns({"intercept": F.col("mean_y") - F.col("slope") * F.col("mean_x"), "r_value": F.signum("slope") * F.sqrt("r_squared"), "std_err": error})
     t = F.sqrt(F.try_divide(F.col("df") * F.col("r_squared"), 1 - F.col("r_squared")))
     p = F.when(F.col("r_squared") >= 1.0, 0.0).otherwise(stats.student_p(t, F.col("df")))
     out = out.withColumn("p_value", p).withColumn("trend_label", stats.classify_trend(F.col("slope"), F.col("p_value")))
-    return out.select("skill", F.col("weeks_covered").cast("int").alias("weeks_covered"), "slope", "p_value", "r_squared", "trend_label", "first_half_rate", "second_half_rate")
+    return out.select("skill", F.col("weeks_covered").cast("int").alias("weeks_covered"), "slope", "intercept", "r_value", "p_value", "std_err", "r_squared", "trend_label", "first_half_rate", "second_half_rate")

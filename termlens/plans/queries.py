@@ -52,7 +52,7 @@ _PARTS = {
     "wc": "SELECT event_type AS skill, strftime(ts, '%G-W%V') AS week, count(DISTINCT event_id) AS n FROM events GROUP BY ALL",
     "dr": "SELECT s.skill, w.week, w.total, w.idx, coalesce(wc.n, 0) AS n, coalesce(wc.n, 0) / w.total AS rate FROM (SELECT DISTINCT skill FROM wc) s CROSS JOIN (SELECT *, row_number() OVER (ORDER BY week) - 1 AS idx FROM wk) w LEFT JOIN wc ON wc.skill = s.skill AND wc.week = w.week",
     # p in closed form for three degrees of freedom (five weeks), which sf0.01 and sf0.1 have.
-    "rg": "SELECT skill, n AS weeks_covered, slope, r2, CASE WHEN r2 >= 1 THEN 0.0 ELSE 1 - 2 / pi() * (atan(t / sqrt(3.0)) + sin(atan(t / sqrt(3.0))) * cos(atan(t / sqrt(3.0)))) END AS p, first_half_rate, second_half_rate FROM (SELECT *, sqrt(3 * r2 / (1 - r2)) AS t FROM (SELECT skill, count(*)::INTEGER AS n, regr_slope(rate, idx) AS slope, pow(regr_sxy(rate, idx), 2) / (regr_sxx(rate, idx) * regr_syy(rate, idx)) AS r2, avg(rate) FILTER (idx < floor(m / 2)) AS first_half_rate, avg(rate) FILTER (idx >= floor(m / 2)) AS second_half_rate FROM (SELECT *, count(*) OVER (PARTITION BY skill) AS m FROM dr) GROUP BY skill HAVING count(*) >= 5))",
+    "rg": "SELECT skill, n AS weeks_covered, slope, r2, intercept, sign(slope) * sqrt(r2) AS r, sqrt((1 - r2) * syy / sxx / (n - 2)) AS se, CASE WHEN r2 >= 1 THEN 0.0 ELSE 1 - 2 / pi() * (atan(t / sqrt(3.0)) + sin(atan(t / sqrt(3.0))) * cos(atan(t / sqrt(3.0)))) END AS p, first_half_rate, second_half_rate FROM (SELECT *, sqrt(3 * r2 / (1 - r2)) AS t FROM (SELECT skill, count(*)::INTEGER AS n, regr_slope(rate, idx) AS slope, regr_intercept(rate, idx) AS intercept, regr_sxx(rate, idx) AS sxx, regr_syy(rate, idx) AS syy, pow(regr_sxy(rate, idx), 2) / (regr_sxx(rate, idx) * regr_syy(rate, idx)) AS r2, avg(rate) FILTER (idx < floor(m / 2)) AS first_half_rate, avg(rate) FILTER (idx >= floor(m / 2)) AS second_half_rate FROM (SELECT *, count(*) OVER (PARTITION BY skill) AS m FROM dr) GROUP BY skill HAVING count(*) >= 5))",
     "ct": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY demand_rate DESC, skill_id)::INTEGER AS place FROM (SELECT f.source AS cluster_id, f.skill_id, count(DISTINCT f.doc_id) AS n, any_value(t.total) AS total, count(DISTINCT f.doc_id) / any_value(t.total) AS demand_rate FROM fd f JOIN (SELECT source, count(*) AS total FROM documents WHERE lang = 'en' GROUP BY ALL) t ON t.source = f.source WHERE f.lang = 'en' GROUP BY ALL)) WHERE place <= 15",
     "hm": "SELECT pg.program_id, replace(pg.university, 'University of ', 'U. ') AS label, s.skill_id, s.name AS canonical_name, coalesce(cov.n / tot.n_courses, 0.0) AS rate FROM pg CROSS JOIN (SELECT skill_id, name FROM (SELECT skill_id, count(*) AS c FROM gs GROUP BY ALL ORDER BY c DESC, skill_id LIMIT 10) JOIN sk USING (skill_id)) s JOIN tot ON tot.program = pg.program LEFT JOIN cov ON cov.program = pg.program AND cov.skill_id = s.skill_id",
 }
@@ -184,9 +184,11 @@ def weekly_rates_dense(spark: SparkSession, d: str) -> DataFrame:
     return _dense(spark, d).select("skill", "week", "idx", "n", "total", "rate")
 
 
-@_register(_with("rg", "SELECT skill, weeks_covered, round(slope, 9) AS slope, round(p, 6) AS p_value, round(r2, 6) AS r_squared FROM rg"))
+@_register(_with("rg", "SELECT skill, weeks_covered, round(slope, 9) AS slope, round(p, 6) AS p_value, round(r2, 6) AS r_squared, round(intercept, 9) AS intercept, round(r, 6) AS r_value, round(se, 9) AS std_err FROM rg"))
 def trend_regression(spark: SparkSession, d: str) -> DataFrame:
-    return tr.regression(_dense(spark, d)).select("skill", "weeks_covered", F.round("slope", 9).alias("slope"), F.round("p_value", 6).alias("p_value"), F.round("r_squared", 6).alias("r_squared"))
+    rows = tr.regression(_dense(spark, d))
+    places = {"slope": 9, "p_value": 6, "r_squared": 6, "intercept": 9, "r_value": 6, "std_err": 9}
+    return rows.select("skill", "weeks_covered", *[F.round(c, n).alias(c) for c, n in places.items()])
 
 
 @_register(_with("rg", "SELECT skill, CASE WHEN p >= 0.05 THEN 'no clear trend' WHEN slope > 0 THEN 'rising' ELSE 'falling' END AS trend_label FROM rg"))
@@ -205,9 +207,9 @@ def melt_halves(spark: SparkSession, d: str) -> DataFrame:
     return views.halves(rows).withColumn("rate", F.round("rate", 9))
 
 
-@_register(_with("rg", "SELECT skill AS skill_id, 'Flat' AS trend, printf('%.1f%%', first_half_rate * 100) AS first_half, printf('%.1f%%', second_half_rate * 100) AS second_half, printf('%.4f', p) AS p FROM rg WHERE p >= 0.05"))
+@_register(_with("rg", "SELECT skill AS skill_id, CASE WHEN p >= 0.05 THEN 'Flat' WHEN slope > 0 THEN 'Rising' ELSE 'Falling' END AS trend, printf('%.1f%%', first_half_rate * 100) AS first_half, printf('%.1f%%', second_half_rate * 100) AS second_half, printf('%.4f', p) AS p FROM rg"))
 def trend_display(spark: SparkSession, d: str) -> DataFrame:
-    rows = tr.regression(_dense(spark, d)).where("trend_label = 'no clear trend'").withColumnRenamed("skill", "skill_id")
+    rows = tr.regression(_dense(spark, d)).withColumnRenamed("skill", "skill_id")
     return views.trend_table(rows)
 
 
@@ -278,11 +280,16 @@ def heatmap_long(spark: SparkSession, d: str) -> DataFrame:
     return views.heatmap(domain.tables(spark, d)).withColumn("rate", F.round("rate", 9))
 
 
-@_register(_with("hm", "SELECT label, round(coalesce(max(rate) FILTER (canonical_name = 'that'), 0.0), 9) AS that, round(coalesce(max(rate) FILTER (canonical_name = 'with'), 0.0), 9) AS \"with\", round((SELECT greatest(max(rate), 0.05) FROM hm), 9) AS top FROM hm GROUP BY label"))
+_PLACES = [f"s{i}" for i in range(1, 11)]
+
+
+@_register(_with("hm", "SELECT label, " + ", ".join(f"round(coalesce(max(rate) FILTER (place = {i}), 0.0), 9) AS s{i}" for i in range(1, 11)) + ", round((SELECT greatest(max(rate), 0.05) FROM hm), 9) AS top FROM (SELECT *, dense_rank() OVER (ORDER BY canonical_name) AS place FROM hm) GROUP BY label"))
 def heatmap_matrix(spark: SparkSession, d: str) -> DataFrame:
-    long = views.heatmap(domain.tables(spark, d)).cache()
-    wide = views.heatmap_matrix(long, ["that", "with"]).crossJoin(views.color_top(long))
-    return wide.select("label", *[F.round(c, 9).alias(c) for c in ("that", "with", "top")])
+    """A column for each of the ten skills, in order of their names."""
+    long = views.heatmap(domain.tables(spark, d))
+    place = F.dense_rank().over(Window.orderBy("canonical_name"))  # ten skills by the programs
+    wide = views.heatmap_matrix(long.withColumn("canonical_name", F.concat(F.lit("s"), place.cast("string"))), _PLACES).crossJoin(F.broadcast(views.color_top(long)))  # one row
+    return wide.select("label", *[F.round(c, 9).alias(c) for c in (*_PLACES, "top")])
 
 
 @_register("SELECT doc_id AS course_id FROM documents WHERE lang <> 'en' AND (substr(text, 1, 40) ILIKE '%der_e%ch%' OR text ILIKE '%der_e%ch%') ORDER BY lang, 'C' || doc_id::VARCHAR, doc_id LIMIT 100")
@@ -317,15 +324,17 @@ def missing_ids(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.missing(read(spark, d, "documents"), read(spark, d, "labels"), "doc_id")
 
 
-@_register("SELECT a.vec_id AS item_id, arg_max(b.vec_id, (round(s, 4), -b.vec_id)) AS match_id, max(round(s, 4)) AS score FROM (SELECT a.vec_id, b.vec_id AS v, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id >= 50 AND b.vec_id < 50) p(vec_id, v, s) JOIN embeddings a USING (vec_id) JOIN embeddings b ON b.vec_id = p.v GROUP BY a.vec_id HAVING max(s) >= 0.3")
+@_register("SELECT item_id, arg_max(v, (round(s, 4), -v)) AS match_id, max(round(s, 4)) AS score FROM (SELECT a.vec_id AS item_id, b.vec_id AS v, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) GROUP BY item_id HAVING max(s) >= 0.3")
 def cosine_top1(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest other vector of all for the query set, each vector whose id is divisible by 50."""
     rows = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return grounding.vector_top1(rows.where("id >= 50"), rows.where("id < 50"), cutoff=0.3).withColumn("score", F.round("score", 4))
+    near = grounding.nearest_other(rows, cutoff=0.3, asked="id % 50 = 0")
+    return near.withColumn("score", F.round("score", 4))
 
 
 @_register()
 def cosine_nearest(spark: SparkSession, d: str) -> DataFrame:
-    """Each vector's nearest other vector in the whole table (`cosine_top1` is the same over the id subsets of its SQL)."""
+    """Each vector's nearest other vector in the whole table."""
     rows = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return grounding.nearest_other(rows, cutoff=0.3).withColumn("score", F.round("score", 4))
 
@@ -360,25 +369,25 @@ def capacity_sample(spark: SparkSession, d: str) -> DataFrame:
 
 # Dedupe, reshape, writing.
 
-_KEY = "substr(lower(trim(text)), 1, 12)"
+_KEY = "md5(lower(trim(text)))"
 
 
 @_register(f"SELECT k, doc_id, n FROM (SELECT {_KEY} AS k, doc_id, length(text) AS n, row_number() OVER (PARTITION BY {_KEY} ORDER BY length(text) DESC, doc_id) AS r FROM documents) WHERE r = 1")
 def longest_per_key(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "documents").select(F.substring(F.lower(F.trim("text")), 1, 12).alias("k"), "doc_id", F.length("text").cast("long").alias("n"))
+    rows = read(spark, d, "documents").select(F.md5(F.lower(F.trim("text"))).alias("k"), "doc_id", F.length("text").cast("long").alias("n"))
     best = rows.groupBy("k").agg(F.max(F.struct("n", (-F.col("doc_id")).alias("m"))).alias("x"))
     return best.select("k", (-F.col("x.m")).alias("doc_id"), F.col("x.n").alias("n"))
 
 
 @_register(f"SELECT {_KEY} AS k, min(doc_id) AS doc_id FROM documents GROUP BY ALL")
 def first_wins_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "documents").select(F.substring(F.lower(F.trim("text")), 1, 12).alias("k"), "doc_id")
+    rows = read(spark, d, "documents").select(F.md5(F.lower(F.trim("text"))).alias("k"), "doc_id")
     return sinks.first_wins(rows, ["k"], ["doc_id"])
 
 
 @_register(f"SELECT {_KEY} AS k, max(doc_id) AS doc_id FROM documents GROUP BY ALL")
 def last_wins_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "documents").select(F.substring(F.lower(F.trim("text")), 1, 12).alias("k"), "doc_id")
+    rows = read(spark, d, "documents").select(F.md5(F.lower(F.trim("text"))).alias("k"), "doc_id")
     return sinks.first_wins(rows, ["k"], [F.desc("doc_id")])
 
 
@@ -417,10 +426,11 @@ def title_clean_all(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", tx.clean_title(F.concat(F.trim(F.substring("text", 1, 30)), F.lit(" (3 Credits)"))).alias("title"))
 
 
-@_register("SELECT doc_id, source FROM documents WHERE doc_id < 300 UNION ALL SELECT doc_id, 'new' FROM documents WHERE doc_id >= 300")
+@_register("SELECT doc_id, 'q' || quality AS source FROM labels UNION ALL SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def upsert_ignore(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "documents").select("doc_id", "source")
-    return sinks.insert_ignore(rows.where("doc_id < 300"), rows.withColumn("source", F.lit("new")), "doc_id", "doc_id")
+    """All documents go into a table that has the labelled ones."""
+    own = read(spark, d, "labels").select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("source"))
+    return sinks.insert_ignore(own, read(spark, d, "documents").select("doc_id", "source"), "doc_id", "doc_id")
 
 
 @_register("SELECT d.doc_id, coalesce('q' || l.quality, d.source) AS source FROM documents d LEFT JOIN labels l USING (doc_id)")
