@@ -44,7 +44,7 @@ def written(df: DataFrame, before: str | None = None, parts: int | None = None)
     their digits would double with every turn.) ``before``: a folder that isn't needed any more; ``parts``: most files.
     """
     path = f"{_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
-    (df.coalesce(parts) if parts else df).write.parquet(path)
+    (df.coalesce(parts) if parts else df).write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.parquet(path)
     out.path = path
     if before:
