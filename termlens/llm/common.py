@@ -5,10 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Shuffle files go when the execution that made them ends, not when the driver's garbage is collected.
+FREEING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: White space as the contracts count it: space and the controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -37,6 +41,26 @@ def _folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+@contextmanager
+def freeing(spark: SparkSession) -> Iterator[None]:
+    """Frees the shuffle files of each execution inside at its end. For executions whose frames aren't executed again: what goes
+    on is read from written files, so many steps in a row hold the disk of one."""
+    before = spark.conf.get(FREEING, None)
+    spark.conf.set(FREEING, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(FREEING)
+        else:
+            spark.conf.set(FREEING, before)
+
+
+def count(df: DataFrame) -> int:
+    with freeing(df.sparkSession):
+        return df.count()
+
+
 def written(df: DataFrame, before: str | None = None, parts: int | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again; it has the name of its folder as ``path``.
 
@@ -44,7 +68,8 @@ def written(df: DataFrame, before: str | None = None, parts: int | None = None)
     their digits would double with every turn.) ``before``: a folder that isn't needed any more; ``parts``: most files.
     """
     path = f"{_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
-    (df.coalesce(parts) if parts else df).write.option("compression", "zstd").parquet(path)
+    with freeing(df.sparkSession):
+        (df.coalesce(parts) if parts else df).write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.parquet(path)
     out.path = path
     if before:
@@ -60,4 +85,5 @@ def cut(df: DataFrame) -> DataFrame:
     a local one is set, since then driver and executors are one process.
     """
     _folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with freeing(df.sparkSession):
+        return df.checkpoint(eager=True)

@@ -179,7 +179,7 @@ def components(edges: DataFrame) -> DataFrame:
     nothing changes.
     """
     both = common.written(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    parts = 1 + both.count() // LABELS
+    parts = 1 + common.count(both) // LABELS
     turn = common.written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), parts=parts)
     while True:
         labels = turn.select("node", "label")
