@@ -119,6 +119,19 @@ def last_segment(uri: Column) -> Column:
     return F.substring_index(uri, "/", -1)
 
 
+#: Marks ids and sources of the historical postings. A fixed value.
+SAMPLE_PREFIX = "kaggle_"
+
+
+def with_prefix(c: Column, prefix: str = SAMPLE_PREFIX) -> Column:
+    return F.concat(F.lit(prefix), c.cast("string"))
+
+
+def without_prefix(c: Column, prefix: str = SAMPLE_PREFIX) -> Column:
+    """Without the prefix where it is there, once."""
+    return F.when(F.startswith(c, F.lit(prefix)), F.substring(c, F.lit(len(prefix) + 1), F.length(c))).otherwise(c)
+
+
 def latin1(c: Column) -> Column:
     """Characters that Latin-1 lacks as question marks."""
     return F.regexp_replace(c, r"[^\x{00}-\x{FF}]", "?")

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termlens.functions import stats
-
 # The role words that sort postings into categories, in order of precedence.
 CATEGORIES = ("software engineer", "data scientist", "data engineer", "machine learning", "cybersecurity", "information security", "devops", "cloud engineer", "database administrator", "systems administrator", "web developer", "network engineer", "business intelligence")
 # Names of the clusters.
 LABELS = {0: "Cybersecurity / Information Security", 1: "Data Science / Data Engineering", 2: "Software / Web Development", 3: "Systems Administration", 4: "Machine Learning / AI", 5: "DevOps / Cloud Engineering", 6: "Business Intelligence", 7: "Network Engineering", 8: "Mixed (weak cluster -- multiple roles blended together)", 9: "Near-duplicate postings (data quality quirk, not a real role group)", 10: "Database Administration"}
 PER_CATEGORY, MIN_CHARS, SEED = 150, 150, 42
+#: Points of a block where all meet all.
+BLOCK = 2048
+
+
+def long_enough(rows: DataFrame, column: str = "description", least: int = MIN_CHARS) -> DataFrame:
+    """Rows whose text has ``least`` characters or more; null texts go."""
+    return rows.where(F.length(column) >= least)
 
 
 def capacity_sample(rows: DataFrame, title: str, order: str, categories=CATEGORIES, capacity: int = PER_CATEGORY * 3) -> DataFrame:
@@ -39,17 +44,36 @@ def shuffled_take(rows: DataFrame, by: str, key: str, n: int = PER_CATEGORY, see
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(by).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))).where(F.col("__n") <= n).drop("__n")
 
 
-def silhouette(points: DataFrame) -> DataFrame:
-    """One row ``(silhouette)``: mean Euclidean silhouette of ``(id, vector, cluster)``, single points as 0.
+def silhouette(points: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row ``(silhouette)``: mean Euclidean silhouette of ``(id, vector, cluster)``, single points as 0; null without points.
 
-    Every point meets every other, so this is for samples of some thousands. Distances are summed per point and
-    cluster before anything is shuffled.
+    Every point meets every other, in blocks of about ``block`` rows within a task, by a product of matrices. What leaves a
+    task is a sum for each point and cluster, so pairs are never rows. Ids are distinct; vectors that are null, have a null or no
+    numbers, and points without a cluster are left out. All vectors have one length.
     """
-    a = points.select(F.col("id").alias("i"), F.col("vector").alias("u"), F.col("cluster").alias("own"))
-    b = points.select(F.col("id").alias("j"), F.col("vector").alias("v"), "cluster")
-    pairs = a.crossJoin(b).where("i <> j").select("i", "own", "cluster", stats.distance(F.col("u"), F.col("v")).alias("d"))
-    means = pairs.groupBy("i", "own", "cluster").agg(F.avg("d").alias("m"))
-    each = means.groupBy("i", "own").agg(F.max(F.when(F.col("own") == F.col("cluster"), F.col("m"))).alias("inner"), F.min(F.when(F.col("own") != F.col("cluster"), F.col("m"))).alias("outer"))
+    good = points.where("id is not null and cluster is not null and size(vector) > 0 and not exists(vector, x -> x is null)")
+    n = max(1, -(-good.count() // block))
+    good = good.select("id", F.col("vector").cast("array<double>").alias("vector"), F.col("cluster").cast("long").alias("cluster"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("own"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = good.select(F.col("own").alias("i"), every.alias("j"), "id", "vector", "cluster")
+    right = good.select(every.alias("i"), F.col("own").alias("j"), "id", "vector", "cluster")
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        groups, member = np.unique(b["cluster"], return_inverse=True)
+        total = np.zeros((len(a), len(groups)))
+        if len(a) and len(b):
+            x, y = (np.array(f["vector"].tolist(), dtype=float) for f in (a, b))
+            d = np.sqrt(np.maximum(0, (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T))
+            d[a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]] = 0.0
+            total = d @ (member[:, None] == np.arange(len(groups))[None, :]).astype(float)
+        return pd.DataFrame({"i": np.repeat(a["id"].to_numpy(), len(groups)), "own": np.repeat(a["cluster"].to_numpy(), len(groups)), "cluster": np.tile(groups, len(a)), "d": total.ravel()})
+
+    kind = points.schema["id"].dataType.simpleString()
+    sums = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, f"i {kind}, own long, cluster long, d double")
+    sizes = good.groupBy("cluster").agg(F.count("*").alias("n"))
+    means = sums.groupBy("i", "own", "cluster").agg(F.sum("d").alias("d")).join(sizes, "cluster")
+    same = F.col("own") == F.col("cluster")
+    each = means.groupBy("i").agg(F.max(F.when(same & (F.col("n") > 1), F.col("d") / (F.col("n") - 1))).alias("inner"), F.min(F.when(~same, F.col("d") / F.col("n"))).alias("outer"))
     s = F.when(F.col("inner").isNull() | F.col("outer").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("outer") - F.col("inner"), F.greatest("outer", "inner")), F.lit(0.0)))
     return each.agg(F.avg(s).alias("silhouette"))
 
@@ -85,20 +109,14 @@ def kmeans(points: DataFrame, k: int, seeds=(SEED,)) -> DataFrame:
     return best.transform(rows).select("id", "vector", F.col("prediction").alias("cluster"))
 
 
-def pick_k(points: DataFrame, ks: range = range(6, 21), seeds=tuple(range(SEED, SEED + 10)), max_sample: int = 20_000) -> tuple[int, float, DataFrame]:
-    """The k with the best silhouette (the least of equals), its silhouette and clusters.
-
-    The silhouette is worked out on at most ``max_sample`` points, by hash of the id; clusters are of all points.
-    """
+def pick_k(points: DataFrame, ks: range = range(6, 21), seeds=tuple(range(SEED, SEED + 10))) -> tuple[int, float, DataFrame]:
+    """The k with the best silhouette of all points (the least of equals), its silhouette and clusters."""
     best = None
     for k in ks:
-        found = kmeans(points, k, seeds).cache()
-        sample = found.orderBy(F.xxhash64("id"), "id").limit(max_sample).toPandas()
-        score = silhouette_blocks(np.array(sample["vector"].tolist(), dtype=float), sample["cluster"].to_numpy())
-        if best is None or score > best[1]:
+        found = kmeans(points, k, seeds)
+        score = silhouette(found).first()[0]
+        if score is not None and (best is None or score > best[1]):
             best = (k, score, found)
-        else:
-            found.unpersist()
     return best
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termlens.functions import text as tx
@@ -86,3 +86,11 @@ def profile_skills(docs_or_text, tracked: DataFrame, spark=None) -> DataFrame:
     names = [r["term"] for r in rows.select("term").distinct().collect()]
     one = (spark or tracked.sparkSession).createDataFrame([(0, (docs_or_text or "").lower())], "doc_id int, text string")
     return extract(one, names, mode="longest").join(rows, "term").select("skill_id").distinct()
+
+
+def vocabulary(skills: DataFrame, technologies: DataFrame) -> DataFrame:
+    """``(pos, term, type)``: ``skills`` (pos, term, type) as they are, then of ``technologies`` (pos, term) the first for each
+    normal form, as type ``technology``. Numbers follow that order."""
+    first = technologies.groupBy(tx.normalize(F.col("term")).alias("norm")).agg(F.min(F.struct("pos", "term")).alias("x")).select("x.*", F.lit("technology").alias("type"))
+    both = skills.select(F.lit(0).alias("part"), "pos", "term", "type").unionByName(first.withColumn("part", F.lit(1)))
+    return both.select(F.row_number().over(Window.orderBy("part", "pos", "term")).cast("long").alias("pos"), "term", "type")  # names, no texts

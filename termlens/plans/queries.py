@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -213,6 +215,46 @@ def trend_display(spark: SparkSession, d: str) -> DataFrame:
     return views.trend_table(rows)
 
 
+@_register(_with("rg", "SELECT skill AS canonical_name, row_number() OVER (ORDER BY skill)::BIGINT AS skill_id, trend_label, round(slope * 100, 9) AS points_per_week, row_number() OVER (PARTITION BY trend_label ORDER BY CASE trend_label WHEN 'falling' THEN slope ELSE -slope END, skill)::INTEGER AS place FROM (SELECT *, CASE WHEN p >= 0.05 THEN 'no clear trend' WHEN slope > 0 THEN 'rising' ELSE 'falling' END AS trend_label FROM rg)"))
+def trend_view(spark: SparkSession, d: str) -> DataFrame:
+    """The trend page: every label's skills, the steepest first, with points a week."""
+    rows = tr.regression(_dense(spark, d))
+    names = sinks.with_ids(rows.select(F.col("skill").alias("canonical_name")), "skill_id", ["canonical_name"])
+    t = {"skills": names, "skill_trends": rows.join(names.withColumnRenamed("canonical_name", "skill"), "skill").drop("skill")}
+    out = None
+    for label in ("rising", "falling", "no clear trend"):
+        slope = F.asc("slope") if label == "falling" else F.desc("slope")
+        page = views.trends(t, label).withColumn("place", F.row_number().over(Window.partitionBy("trend_label").orderBy(slope, "skill_id")))
+        out = page if out is None else out.unionByName(page)
+    return out.select("canonical_name", "skill_id", "trend_label", F.round("points_per_week", 9).alias("points_per_week"), "place")
+
+
+@_register(_with("rt gs", "SELECT place AS rank, name AS skill, upper(substr(priority_tier, 1, 1)) || substr(priority_tier, 2) AS priority, round(coverage_rate, 4) AS coverage, round(demand_rate, 4) AS demand, round(gap_value, 4) AS gap, CASE trend_label WHEN 'rising' THEN 'Rising' WHEN 'falling' THEN 'Falling' WHEN 'no clear trend' THEN 'Flat' ELSE 'No Trend Data' END AS trend FROM (SELECT *, row_number() OVER (ORDER BY priority_score DESC, skill_id)::INTEGER AS place FROM rt WHERE program = 'de')"))
+def report_table(spark: SparkSession, d: str) -> DataFrame:
+    """A program's spreadsheet."""
+    return sinks.report_table(views.program_explorer(domain.tables(spark, d), 1))
+
+
+@_register(_with("rt", "SELECT count(*) AS n, count(*) FILTER (priority_tier = 'high') AS n_high, count(*) FILTER (trend_label = 'rising') AS n_rising, '2024-02-29' AS report_date FROM rt WHERE program = 'de'"))
+def report_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The head of a program's printed report, with the date that it is given."""
+    return views.program_report(domain.tables(spark, d), 1, date(2024, 2, 29))["counts"].withColumn("report_date", F.col("report_date").cast("string"))
+
+
+@_register("SELECT row_number() OVER (ORDER BY part, pos)::BIGINT AS pos, term, type FROM (SELECT 0 AS part, item_id AS pos, lower(text) AS term, 'skill' AS type FROM benchmark UNION ALL SELECT 1, min(doc_id), source, 'technology' FROM documents GROUP BY source)")
+def vocabulary_union(spark: SparkSession, d: str) -> DataFrame:
+    """One vocabulary of the benchmark's items and the sources, each source once."""
+    skills = read(spark, d, "benchmark").select(F.col("item_id").alias("pos"), F.lower("text").alias("term"), F.lit("skill").alias("type"))
+    return extraction.vocabulary(skills, read(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.col("source").alias("term")))
+
+
+@_register("SELECT doc_id, 'kaggle_' || doc_id AS posting_id, doc_id::VARCHAR AS bare FROM documents WHERE lang = 'en' AND length(text) >= 150")
+def sample_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of the postings long enough to cluster, with the sample's prefix put on and taken off."""
+    rows = clustering.long_enough(read(spark, d, "documents").where("lang = 'en'"), "text").select("doc_id", tx.with_prefix(F.col("doc_id")).alias("posting_id"))
+    return rows.withColumn("bare", tx.without_prefix(F.col("posting_id")))
+
+
 # Clusters, profiles, views.
 
 
@@ -353,6 +395,21 @@ def kmeans_silhouette(spark: SparkSession, d: str) -> DataFrame:
     return clustering.silhouette(clustering.kmeans(rows, 10))
 
 
+@_register("WITH p AS (SELECT a.vec_id AS i, a.label AS own, b.label AS c, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id), m AS (SELECT i, own, c, avg(d) AS m FROM p GROUP BY ALL), s AS (SELECT i, max(m) FILTER (own = c) AS x, min(m) FILTER (own <> c) AS y FROM m GROUP BY i) SELECT round(avg(CASE WHEN x IS NULL OR y IS NULL THEN 0 ELSE (y - x) / greatest(x, y) END), 6) AS silhouette FROM s")
+def silhouette_labels(spark: SparkSession, d: str) -> DataFrame:
+    """How well the labels of the vectors part them."""
+    rows = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").alias("cluster"))
+    return clustering.silhouette(rows).select(F.round("silhouette", 6).alias("silhouette"))
+
+
+@_register()
+def kmeans_choice(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of the vectors for the k from 6 to 20 that parts them best, by the silhouette of all points."""
+    rows = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    k, score, found = clustering.pick_k(rows, seeds=(clustering.SEED,))
+    return found.select("id", "cluster", F.lit(k).alias("k"), F.lit(score).alias("silhouette"))
+
+
 @_register()
 def html_extract(spark: SparkSession, d: str) -> DataFrame:
     return catalogs.outline(read(spark, d, "pages"))
@@ -457,7 +514,10 @@ def uri_segments(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("segment", tx.last_segment(F.col("uri")))
 
 
-@_register()
+_MINE = "('that', 'have', 'worked', 'with', 'license', 'there', 'other', 'then', 'berlin')"
+
+
+@_register(_with("ct sk", f"SELECT cluster_id, role_label, score FROM (SELECT cluster_id AS role_label, round(avg((name IN {_MINE})::INTEGER), 9) AS score FROM ct JOIN sk USING (skill_id) GROUP BY ALL) JOIN (SELECT row_number() OVER (ORDER BY source)::BIGINT AS cluster_id, source AS role_label FROM (SELECT DISTINCT source FROM documents)) USING (role_label) ORDER BY score DESC, cluster_id LIMIT 5"))
 def profile_match(spark: SparkSession, d: str) -> DataFrame:
     """The five roles nearest to a person's text."""
     roles, _ = views.profile_match(domain.tables(spark, d), "I have worked with that License, there and other; then in Berlin")

@@ -5,6 +5,8 @@ Where the original order has ties, an id breaks them; limits without an order ge
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,28 +145,33 @@ def role_match(top: DataFrame, mine: DataFrame) -> DataFrame:
 
 def have_missing(top: DataFrame, mine: DataFrame, cluster_id: int) -> DataFrame:
     """A cluster's top skills, each with whether the person has it."""
-    rows = top.where(F.col("cluster_id") == cluster_id)
+    return _held(top.where(F.col("cluster_id") == cluster_id), mine)
+
+
+def _held(rows: DataFrame, mine: DataFrame) -> DataFrame:
     have = rows.join(mine.select("skill_id"), "skill_id", "left_semi").withColumn("have", F.lit(True))
     return have.unionByName(rows.join(mine.select("skill_id"), "skill_id", "left_anti").withColumn("have", F.lit(False)))
 
 
 def profile_match(t: dict[str, DataFrame], text: str) -> tuple[DataFrame, DataFrame]:
     """A person's text against the roles: (roles by score, the best role's skills with ``have``)."""
-    tracked = tracked_skills(t).cache()
-    mine = extraction.profile_skills(text, tracked).cache()
+    tracked = tracked_skills(t)
+    mine = extraction.profile_skills(text, tracked)
     found = t["extractions"].where("source_type = 'posting'").select(F.col("source_id").alias("item_id"), "skill_id").join(tracked.select("skill_id"), "skill_id", "left_semi")
     named = t["role_clusters"].where(~F.col("role_label").ilike("mixed%"))
     members = t["posting_cluster_map"].join(named.select("cluster_id"), "cluster_id", "left_semi").select(F.col("posting_id").alias("item_id"), "cluster_id")
-    top = cluster_top_skills(found, members).cache()
+    top = cluster_top_skills(found, members)
     roles = role_match(top, mine).join(named, "cluster_id").orderBy(F.desc("score"), "cluster_id").limit(5)
-    best = roles.first()
-    return roles, have_missing(top, mine, best["cluster_id"] if best else -1)
+    best = roles.orderBy(F.desc("score"), "cluster_id").limit(1).select("cluster_id")
+    return roles, _held(top.join(best, "cluster_id", "left_semi"), mine)
 
 
-def program_report(t: dict[str, DataFrame], program_id: int) -> dict[str, DataFrame]:
-    """What the printed report of a program shows: counts, table, and the three first high ones in changing words."""
+def program_report(t: dict[str, DataFrame], program_id: int, day: date | None = None) -> dict[str, DataFrame]:
+    """What the printed report of a program shows: counts and the date (``day``, else today), table, and the three first high
+    ones in changing words."""
     rows = program_explorer(t, program_id)
     counts = rows.agg(F.count("*").alias("n"), F.count_if(F.col("priority_tier") == "high").alias("n_high"), F.count_if(F.col("trend_label") == "rising").alias("n_rising"))
+    counts = counts.withColumn("report_date", F.lit(day) if day else F.current_date())
     place = F.row_number().over(Window.orderBy(F.desc("priority_score"), "skill_id")) - 1
     high = rows.where("priority_tier = 'high'").withColumn("variant", place).where("variant < 3")
     prose = high.select("variant", tx.latin1(tx.summary(F.col("canonical_name"), F.col("program_coverage_rate"), F.col("market_demand_rate"), F.col("trend_label"), F.col("variant"))).alias("line"))

@@ -1,16 +1,21 @@
 """Paged REST interfaces as a Spark data source: one partition for each path, followed page by page.
 
 ``fetch`` is any picklable function from an address to a decoded JSON object, so tests and other transports need
-no network. The default uses the standard library, waits between requests and raises on an error status.
+no network. The default uses the standard library, waits between requests and raises on an error status; `with_key`
+makes one that sends headers (an API key) and adds parameters.
 """
 
 from __future__ import annotations
 
 import json
 import time
+import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
+from functools import partial
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -18,12 +23,38 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 DELAY_S, TIMEOUT_S = 0.3, 30
 
 
-def http_json(address: str) -> dict:
+def with_parameters(address: str, parameters: dict[str, Any] | None) -> str:
+    """``address`` with those ``parameters`` that its query lacks: the address of a next page brings its own."""
+    if not parameters:
+        return address
+    parts = urllib.parse.urlsplit(address)
+    own = urllib.parse.parse_qsl(parts.query, keep_blank_values=True)
+    more = [(k, v) for k, v in parameters.items() if v is not None and k not in dict(own)]
+    return urllib.parse.urlunsplit(parts._replace(query=urllib.parse.urlencode(own + more, doseq=True)))
+
+
+def http_json(address: str, headers: dict[str, str] | None = None, parameters: dict[str, Any] | None = None) -> dict:
     time.sleep(DELAY_S)
-    with urllib.request.urlopen(address, timeout=TIMEOUT_S) as r:
+    request = urllib.request.Request(with_parameters(address, parameters), headers={"Accept": "application/json", **(headers or {})})
+    with urllib.request.urlopen(request, timeout=TIMEOUT_S) as r:
         return json.load(r)
 
 
+def with_key(headers: dict[str, str] | None = None, parameters: dict[str, Any] | None = None) -> Callable[[str], dict]:
+    """`http_json` with headers and parameters, such as ``{"X-API-Key": key}``. They go to the tasks with the function and
+    stand in no column and no option."""
+    return partial(http_json, headers=headers, parameters=parameters)
+
+
+def at(page: dict, path: str) -> Any:
+    """What stands below ``page`` by names with points between (``_links.hasEssentialSkill``); None where a name is missing. A
+    name that holds points itself comes first."""
+    if not isinstance(page, dict) or path in page:
+        return page.get(path) if isinstance(page, dict) else None
+    first, _, rest = path.partition(".")
+    return at(page.get(first), rest) if rest else None
+
+
 def pages(fetch: Callable[[str], dict], address: str, next_key: str = "next") -> Iterator[dict]:
     """The pages from an address on; the next one's address stands under ``next_key`` until it is null."""
     seen = set()
@@ -31,7 +62,7 @@ def pages(fetch: Callable[[str], dict], address: str, next_key: str = "next") ->
         seen.add(address)
         page = fetch(address)
         yield page
-        address = page.get(next_key)
+        address = at(page, next_key)
 
 
 class _Path(InputPartition):
@@ -48,7 +79,7 @@ class _Reader(DataSourceReader):
 
     def read(self, partition):
         for page in pages(self.fetch, partition.value, self.next_key):
-            for item in page.get(self.items_key) or []:
+            for item in at(page, self.items_key) or []:
                 yield partition.value, json.dumps(item)
 
 
@@ -76,6 +107,29 @@ def read_pages(spark: SparkSession, addresses: list[str], items: str, ddl: str,
     return rows.select("address", F.from_json("item", ddl).alias("row")).select("address", "row.*")
 
 
+def read_details(keys: DataFrame, key: str, address: str, items: str, ddl: str, fetch: Callable[[str], dict] = http_json, next_key: str = "next") -> DataFrame:
+    """``(key, pos, ..., error)``: the items of every row's own pages, ``pos`` counting them.
+
+    ``address`` has ``{key}`` where the row's key goes. A row whose pages can't be fetched is one row with an error, the
+    items that came before it stay; null keys have no rows.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k in batch[key]:
+                rows = []
+                try:
+                    for page in pages(fetch, address.replace("{key}", urllib.parse.quote(str(k), safe="")), next_key):
+                        rows += [(k, len(rows) + i, json.dumps(x), None) for i, x in enumerate(at(page, items) or [])]
+                except Exception as e:  # noqa: BLE001
+                    rows.append((k, -1, None, f"{type(e).__name__}: {e}"))
+                yield pd.DataFrame(rows, columns=[key, "pos", "item", "error"])
+
+    kind = keys.schema[key].dataType.simpleString()
+    rows = keys.select(key).where(F.col(key).isNotNull()).mapInPandas(run, f"{key} {kind}, pos long, item string, error string")
+    return rows.select(key, "pos", F.from_json("item", ddl).alias("row"), "error").select(key, "pos", "row.*", "error")
+
+
 def occupations(hits: DataFrame, prefixes: tuple[str, ...] = ("15-1", "15-2")) -> DataFrame:
     """Search hits (keyword, code, title) as one row for each occupation of the wanted groups, keywords sorted."""
     wanted = F.col("code").startswith(prefixes[0])

@@ -41,8 +41,9 @@ def with_ids(df: DataFrame, name: str, order: list[str]) -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+def write_json(df: DataFrame, path: str, without: tuple[str, ...] = ()) -> None:
+    """JSON lines of all columns but those named in ``without``."""
+    df.drop(*without).write.mode("overwrite").json(path)
 
 
 def report_lines(recommendations: DataFrame) -> DataFrame:

@@ -1,8 +1,11 @@
 """Operators on small frames, against plain Python where the rule is a loop."""
 
+import http.server
 import json
 import random
 import re
+import threading
+import urllib.parse
 from datetime import datetime, timedelta
 
 import pytest
@@ -153,7 +156,11 @@ def test_silhouettes_agree(spark):
     x = np.concatenate([rng.normal(0, 1, (15, 4)), rng.normal(4, 1, (15, 4)), [[50.0] * 4]])
     labels = np.array([0] * 15 + [1] * 15 + [2])
     df = spark.createDataFrame([(i, [float(v) for v in r], int(c)) for i, (r, c) in enumerate(zip(x, labels))], "id long, vector array<double>, cluster int")
-    assert clustering.silhouette(df).first()[0] == pytest.approx(clustering.silhouette_blocks(x, labels, 7), abs=1e-9)
+    want = pytest.approx(clustering.silhouette_blocks(x, labels, 7), abs=1e-7)
+    assert clustering.silhouette(df).first()[0] == want and clustering.silhouette(df, block=5).first()[0] == want
+    assert clustering.silhouette(df.limit(0)).first()[0] is None
+    k, score, found = clustering.pick_k(df.select("id", "vector"), range(2, 4), (1, 2))
+    assert k in (2, 3) and score > 0.5 and found.count() == 31
 
 
 def test_micro_metrics(spark):
@@ -215,6 +222,18 @@ def test_paged_rest(spark):
 
     got = rest.read_pages(spark, ["u1", "v"], "items", "code string, title string", fetch).collect()
     assert {(r.address, r.code) for r in got} == {("u1", "15-1"), ("u1", "15-2")}
+    linked = {"a?limit=5": {"_links": {"skill": [{"t": 1}], "next": {"href": "b"}}}, "b": {"_links": {"skill": [{"t": 2}], "next": None}}, "c": {"_links": None}}
+
+    def follow(address, book=linked):
+        return book[address]
+
+    keys = spark.createDataFrame([("a?limit=5",), ("c",), ("lost",), (None,)], "code string")
+    got = rest.read_pages(spark, ["a?limit=5", "c"], "_links.skill", "t long", follow, next_key="_links.next.href").collect()
+    assert sorted((r.address, r.t) for r in got) == [("a?limit=5", 1), ("a?limit=5", 2)]
+    got = rest.read_details(keys, "code", "{key}", "_links.skill", "t long", lambda a, book=linked: book[urllib.parse.unquote(a)], "_links.next.href").collect()
+    assert sorted((r.code, r.pos, r.t) for r in got if r.error is None) == [("a?limit=5", 0, 1), ("a?limit=5", 1, 2)]
+    assert [(r.code, r.pos) for r in got if r.error] == [("lost", -1)]
+    assert rest.with_parameters("https://x.org/s?b=1", {"a": "p q", "b": 2, "c": None}) == "https://x.org/s?b=1&a=p+q" and rest.with_parameters("u", {}) == "u"
     hits = spark.createDataFrame([("k2", "15-1252", "Dev"), ("k1", "15-1252", "Dev"), ("k1", "11-1", "No")], "keyword string, code string, title string")
     assert [tuple(r) for r in rest.occupations(hits).collect()] == [("15-1252", "Dev", ["k1", "k2"])]
     ex = "array<struct<title:string,hot_technology:boolean,in_demand:boolean>>"
@@ -223,6 +242,37 @@ def test_paged_rest(spark):
     assert [(e.title, e.hot_technology, e.in_demand) for e in r.examples] == [("X", True, False), ("Y", False, False), ("Z", True, True)] and r.used_by_occupations == ["Dev", "Ops"]
 
 
+def test_requests_carry_key_and_parameters():
+    seen = []
+
+    class Answers(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            seen.append((self.path, self.headers["X-API-Key"]))
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(b'{"row": [1]}')
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Answers)
+    threading.Thread(target=server.handle_request, daemon=True).start()
+    fetch = rest.with_key({"X-API-Key": "k"}, {"end": 20})
+    assert fetch(f"http://127.0.0.1:{server.server_port}/s?keyword=a") == {"row": [1]}
+    assert seen == [("/s?keyword=a&end=20", "k")]
+    server.server_close()
+
+
+def test_vocabulary_and_prefix(spark, tmp_path):
+    skills = spark.createDataFrame([(1, "SQL", "skill"), (2, "sql", "knowledge")], "pos long, term string, type string")
+    tools = spark.createDataFrame([(2, "Git "), (1, "git"), (3, "SQL")], "pos long, term string")
+    assert [tuple(r) for r in extraction.vocabulary(skills, tools).orderBy("pos").collect()] == [(1, "SQL", "skill"), (2, "sql", "knowledge"), (3, "git", "technology"), (4, "SQL", "technology")]
+    ids = spark.createDataFrame([("kaggle_kaggle_1",), ("x",), (None,)], "c string").select(tx.without_prefix(F.col("c")).alias("c"))
+    assert {r.c for r in ids.collect()} == {"kaggle_1", "x", None}
+    sinks.write_json(skills, f"{tmp_path}/out", without=("type", "absent"))
+    assert set(spark.read.json(f"{tmp_path}/out").columns) == {"pos", "term"}
+
+
 def test_sinks(spark, tmp_path):
     old = spark.createDataFrame([("a", "1"), ("b", None)], "k string, v string")
     new = spark.createDataFrame([("b", "2"), ("c", "3"), ("c", "4")], "k string, v string")
