@@ -210,8 +210,8 @@ def scores(docs: DataFrame, order: int = ORDER, least: int = LEAST, id_col: str
     """``(id, n_words, score, mean)`` for each row: the sum and the mean of its words' log10 scores.
 
     Words are maximal runs of other than white space. Null and empty texts have score 0 and a null mean. Null
-    ids and repeated rows keep their row and count in the corpus each time; other columns aren't looked at; an
-    empty table gives an empty result.
+    ids and repeated rows keep their row and count in the corpus each time; a text is scored whole, however long;
+    other columns aren't looked at; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), common.text_or_empty(text_col).alias("text"))

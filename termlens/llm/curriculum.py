@@ -101,7 +101,8 @@ def position(pass_no, taken_in_pass):
 def repeated(docs: DataFrame, cap: int = CAP) -> DataFrame:
     """The mix itself: a row of ``docs`` for each pass over a document, range-sorted by training position.
 
-    A last pass that takes less than half of a document is left out, else it counts as the whole document.
+    A last pass that takes less than half of a document is left out, else it counts as the whole document. Rows without
+    a word (null texts too) aren't taken; null ids and repeated rows are taken like others; an empty table gives an empty one.
     """
     n = _named
     rows = mix(docs, cap)

@@ -323,7 +323,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``class_id`` is the least id of the row's class (rows linked by likeness of 0.8 or more), ``class_size`` its
     rows, ``copies`` the rows with this very text. Null texts count as empty; texts without a word are alike
     only if equal. A class whose ids are all null has a null ``class_id``. Repeated rows are copies. Texts with
-    equal 64-bit hashes count as equal (for n texts one such pair is expected in n^2 / 2^65).
+    equal 64-bit hashes count as equal (for n texts one such pair is expected in n^2 / 2^65). Texts are read whole,
+    however long; an empty table gives an empty result; other columns aren't looked at, so their names can't clash.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.text_or_empty(text_col).alias("text")).withColumn("node", F.xxhash64("text"))
     each = common.cut(rows.mapInPandas(_sketch, "doc_id long, node long, n long, sig binary, bands array<long>"))
@@ -341,7 +342,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row left of each class: that of the least doc_id (null ids last)."""
+    """``docs`` with one row left of each class: that of the least doc_id (null ids last).
+
+    Nulls, empty, long and repeated texts are as in `near_duplicates`; of rows with equal id and text one stays. The other
+    columns come back as they are; an empty table gives an empty one.
+    """
     found = near_duplicates(docs)
     # The least id may have several texts (repeated ids): the least node of them stays.
     first = found.groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("node")).alias("lone")).agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("class_id")), F.col("node"))).alias("__near_node"))

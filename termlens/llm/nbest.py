@@ -255,7 +255,8 @@ def encode_texts(docs: DataFrame, model: str = MODEL, n: int = N_BEST, id_col: s
 
     ``ids``: the best segmentation; ``alternatives``: the others of the N best, each as its score and its edits
     (from ``start``, ``drop`` ids give way to ``ids``); ``round_trip``: whether decoding gives the text back. Null
-    texts count as empty; null ids and repeated rows keep their row; other columns aren't looked at. The vocabulary
+    texts count as empty; null ids and repeated rows keep their row; an empty table gives an empty result; long texts are segmented
+    whole, since the lattice is split only where no piece crosses; other columns aren't looked at. The vocabulary
     (at most a few MB) is read on the driver.
     """
     with open(model, "rb") as f:

@@ -131,7 +131,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The next document is the next row by id, then text (null ids first, as one id); after the last comes the
     first, so a single row follows itself. Null texts are empty. An empty text has the empty fingerprint,
-    which is like another empty one only. Other columns aren't looked at.
+    which is like another empty one only. Repeated rows keep their row each and follow one another; texts are read whole,
+    however long; an empty table gives an empty result. Other columns aren't looked at, so their names can't clash.
     """
     spark = docs.sparkSession
     n = common.partitions(spark) * 2

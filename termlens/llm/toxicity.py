@@ -245,7 +245,11 @@ def learn(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> Le
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``op1_toxicity``: a score for every whole text of ``documents``, empty and null ones (as empty) too."""
+    """``op1_toxicity``: a score for every whole text of ``documents``, however long.
+
+    Null texts score as empty ones, and these get the score of a text without hits. Repeated rows and null ids keep their row;
+    an empty table gives an empty result. Columns other than doc_id and text aren't looked at, so their names can't clash.
+    """
     docs = common.read(spark, sf_dir, "documents")
     score = scorer(spark, learn(spark, sf_dir))
     out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score("text").alias("score"))
