@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from termlens.llm import backoff, curriculum, dartminhash, disclosure, imagedesc, langid, nbest, resampling, secret_scan, syncmers, toxicity, url_rules
+from termlens.llm import backoff, curriculum, dartminhash, disclosure, imagedesc, langid, nbest, resampling, secret_scan, syncmers, toxicity, upsert, url_rules
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_disclosure": disclosure.query,
     "op9_imagedesc": imagedesc.query,
     "op10_nbest": nbest.query,
+    "op11_upsert": upsert.query,
     "op12_resampling": resampling.query,
     "op13_langid": langid.query,
 }
