@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,10 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termlens.functions import stats, text
+from termlens.operators import fuzzy as nearest_term
 
 FUZZY_CUTOFF, COSINE_CUTOFF = 0.70, 0.65
-#: Largest vocabulary that is sent to the workers; it is counted first.
-MAX_SENT = 200_000
 #: Vectors of a block in a search of all against all.
 BLOCK = 1024
 
@@ -29,25 +27,14 @@ def lookup(vocabulary: DataFrame, term: str = "term", order: str = "pos") -> Dat
 def fuzzy(raw: DataFrame, known: DataFrame, column: str = "raw", cutoff: float = FUZZY_CUTOFF) -> DataFrame:
     """``raw`` with ``term``: the exact normal form's, else the best by matching blocks at or above the cutoff, else null.
 
-    ``known`` is `lookup`'s result. Each distinct raw term without an exact match is compared once. A vocabulary
-    of up to MAX_SENT terms goes to the workers; a larger one is an error, since every term meets every other.
+    ``known`` is `lookup`'s result, of any size. Each distinct raw term without an exact match is compared with the vocabulary
+    terms that `fuzzy.candidates` leaves.
     """
     rows = raw.withColumn("__norm", text.normalize(F.col(column)))
     exact = rows.select("__norm").distinct().where("__norm <> ''").join(known.select(F.col("norm").alias("__norm"), "term"), "__norm", "left")
-    open_terms = exact.where("term is null").select("__norm")
-    n = known.limit(MAX_SENT + 1).count()
-    if n > MAX_SENT:
-        raise ValueError(f"more than {MAX_SENT} vocabulary terms")
-    vocabulary = [(r["norm"], r["term"]) for r in known.orderBy("pos").collect()]
-    sent = raw.sparkSession.sparkContext.broadcast((dict(vocabulary), [v for v, _ in vocabulary]))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terms, norms = sent.value
-        for batch in batches:
-            best = [difflib.get_close_matches(t, norms, n=1, cutoff=cutoff) for t in batch["__norm"]]
-            yield pd.DataFrame({"__norm": batch["__norm"], "term": [terms[b[0]] if b else None for b in best]})
-
-    found = open_terms.mapInPandas(run, "__norm string, term string").unionByName(exact.where("term is not null"))
+    near = nearest_term.nearest(exact.where("term is null").select(F.col("__norm").alias("term")), known.select(F.col("norm").alias("term")), cutoff)
+    found = near.join(known.select(F.col("norm").alias("b"), "term"), "b").select(F.col("a").alias("__norm"), "term")
+    found = found.unionByName(exact.where("term is not null"))
     return rows.join(found, "__norm", "left").drop("__norm")
 
 
