@@ -3,7 +3,7 @@
 ``mode="all"`` reports every term on its own, also inside another one. ``mode="longest"`` reads a text once from
 left to right and takes the longest term at each place, so terms don't overlap.
 
-The vocabulary is split when the plan is made. Terms of one word become a join of the text's words with the
+A vocabulary in a table goes to `phrases`. One that is a list is split when the plan is made. Terms of one word become a join of the text's words with the
 vocabulary, terms of several plain words a join with the text's word runs of that length; only terms with other
 characters (``C++``, ``.NET``) and, in longest mode, terms that share a word with another one, go through a pattern.
 The join's vocabulary side is whatever size it is: Catalyst and AQE broadcast it only below their threshold.
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termlens.functions import text as tx
+from termlens.operators import phrases
 
 _PLAIN = re.compile(r"[a-z0-9_]+(?: [a-z0-9_]+)*")
 
@@ -53,8 +54,10 @@ def _word_matches(docs: DataFrame, key: str, text: str, terms: DataFrame, length
     return rows.join(terms, "term")
 
 
-def extract(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text", mode: str = "all") -> DataFrame:
-    """Distinct ``(key, term)``, terms normalized; for vocabularies that are on the driver."""
+def extract(docs: DataFrame, terms: list[str] | DataFrame, key: str = "doc_id", text: str = "text", mode: str = "all") -> DataFrame:
+    """Distinct ``(key, term)``, terms normalized. ``terms``: a list, or a frame of any size with them in its first column."""
+    if isinstance(terms, DataFrame):
+        return phrases.extract(docs, terms, key, text, terms.columns[0], mode)
     spark = docs.sparkSession
     joined, matched = split_vocabulary(terms, mode)
     empty = docs.select(key, F.lit("").alias("term")).limit(0)
@@ -78,14 +81,10 @@ def extract_words(docs: DataFrame, skills: DataFrame, key: str = "doc_id", text:
 
 
 def profile_skills(docs_or_text, tracked: DataFrame, spark=None) -> DataFrame:
-    """The tracked skills ``(skill_id, canonical_name)`` that a person's text names, longest first; ids distinct.
-
-    The tracked list is an interface's choice list, so it is read to make the pattern.
-    """
+    """The tracked skills ``(skill_id, canonical_name)`` that a person's text names, longest first; ids distinct."""
     rows = tracked.select("skill_id", tx.normalize(F.col("canonical_name")).alias("term"))
-    names = [r["term"] for r in rows.select("term").distinct().collect()]
-    one = (spark or tracked.sparkSession).createDataFrame([(0, (docs_or_text or "").lower())], "doc_id int, text string")
-    return extract(one, names, mode="longest").join(rows, "term").select("skill_id").distinct()
+    one = (spark or tracked.sparkSession).createDataFrame([(0, docs_or_text or "")], "doc_id int, text string")
+    return extract(one, rows.select("term"), mode="longest").join(rows, "term").select("skill_id").distinct()
 
 
 def vocabulary(skills: DataFrame, technologies: DataFrame) -> DataFrame:

@@ -24,6 +24,16 @@ def skills(spark: SparkSession, d: str) -> DataFrame:
     return sinks.with_ids(names, "skill_id", ["name"]).select("skill_id", "name")
 
 
+def phrases(spark: SparkSession, d: str) -> DataFrame:
+    """(term): the benchmark's words, its pairs of words with one space between, and words with a sign right after them."""
+    tokens = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+|[^a-z0-9_]"), F.lit(0))
+    rows = read(spark, d, "benchmark").select(tokens.alias("t")).select("t", F.explode(F.sequence(F.lit(1), F.greatest(F.size("t"), F.lit(1)))).alias("i"))
+    at = lambda k: F.try_element_at("t", F.col("i") + k)
+    pair, signed = F.when(at(1) == " ", F.concat(at(0), F.lit(" "), at(2))), F.when(~at(1).rlike(r"[a-z0-9_\s]"), F.concat(at(0), at(1)))
+    terms = rows.select(F.explode(F.array(at(0), pair, signed)).alias("term"))
+    return terms.select(F.trim("term").alias("term")).where(F.col("term").rlike("^[a-z0-9_]")).distinct()
+
+
 def found(spark: SparkSession, d: str) -> DataFrame:
     """Distinct (doc_id, lang, source, skill_id)."""
     return extraction.extract_words(read(spark, d, "documents"), skills(spark, d), keep=("lang", "source"))

@@ -91,6 +91,31 @@ def term_extraction_longest(spark: SparkSession, d: str) -> DataFrame:
     return extraction.extract(read(spark, d, "documents"), TANGLED, mode="longest")
 
 
+# The vocabulary of phrases and signs, by the text's tokens.
+_TOKENS = "regexp_extract_all(lower(text), '[a-z0-9_]+|[^a-z0-9_]')"
+_PHRASES = rf"""bt AS (SELECT t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT {_TOKENS} AS t FROM benchmark)),
+ph AS (SELECT DISTINCT trim(term) AS term FROM (SELECT t[i] AS term FROM bt UNION ALL SELECT t[i] || t[i + 1] FROM bt WHERE NOT regexp_matches(t[i + 1], '[a-z0-9_\s]') UNION ALL SELECT t[i] || ' ' || t[i + 2] FROM bt WHERE t[i + 1] = ' ') WHERE regexp_matches(term, '^[a-z0-9_]'))"""
+
+
+@_register(f"WITH {_PHRASES} SELECT doc_id, term FROM (SELECT doc_id, lower(text) AS low FROM documents) JOIN ph ON contains(low, term) WHERE regexp_matches(low, '(^|[^a-z0-9_])' || regexp_escape(term) || '($|[^a-z0-9_])')")
+def phrase_extraction(spark: SparkSession, d: str) -> DataFrame:
+    """Every term of a vocabulary table with phrases and signs, also within others."""
+    return extraction.extract(read(spark, d, "documents"), domain.phrases(spark, d))
+
+
+@_register(
+    f"""WITH RECURSIVE {_PHRASES}, po AS (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, {_TOKENS} AS t FROM documents)),
+hit AS (SELECT s.doc_id, s.i, s.i + n AS e, s.term FROM (SELECT doc_id, i, n, array_to_string(t[i:i + n - 1], '') AS term, t[i + n - 1] AS z, t[i + n] AS a FROM po, (VALUES (1), (2), (3)) v(n) WHERE i + n - 1 <= len(t)) s JOIN ph ON ph.term = s.term WHERE NOT (regexp_matches(z, '[^a-z0-9_]') AND regexp_matches(coalesce(a, ' '), '^[a-z0-9_]'))),
+best AS (SELECT doc_id, i, max(e) AS e, arg_max(term, e) AS term FROM hit GROUP BY ALL),
+nxt AS (SELECT a.doc_id, a.i, a.e, a.term, b.i AS j FROM best a ASOF LEFT JOIN best b ON a.doc_id = b.doc_id AND a.e <= b.i),
+pick AS (SELECT * FROM nxt WHERE (doc_id, i) IN (SELECT doc_id, min(i) FROM best GROUP BY ALL) UNION ALL SELECT n.* FROM pick p JOIN nxt n ON n.doc_id = p.doc_id AND n.i = p.j)
+SELECT DISTINCT doc_id, term FROM pick"""
+)
+def phrase_extraction_longest(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of the same vocabulary that don't overlap, the longest at each place."""
+    return extraction.extract(read(spark, d, "documents"), domain.phrases(spark, d), mode="longest")
+
+
 @_register(_with("cov", "SELECT program, skill_id, n FROM cov"))
 def coverage_counts(spark: SparkSession, d: str) -> DataFrame:
     return domain.coverage(domain.found(spark, d))
