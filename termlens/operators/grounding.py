@@ -9,12 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termlens.functions import stats, text
+from termlens.functions import text
 from termlens.operators import fuzzy as nearest_term
+from termlens.operators import nearest
 
 FUZZY_CUTOFF, COSINE_CUTOFF = 0.70, 0.65
-#: Vectors of a block in a search of all against all.
-BLOCK = 1024
 
 
 def lookup(vocabulary: DataFrame, term: str = "term", order: str = "pos") -> DataFrame:
@@ -49,51 +48,16 @@ def grounded(answers: DataFrame, known: DataFrame, key: str = "item_id", answer:
 
 
 def vector_top1(items: DataFrame, vocabulary: DataFrame, cutoff: float = COSINE_CUTOFF) -> DataFrame:
-    """``(item_id, match_id, score)``: each item's nearest vocabulary vector by cosine, if it reaches the cutoff.
-
-    Both frames: (id, vector). Items are the long side; the vocabulary's rows stand against every item (equal
-    scores: the least id). Only the best so far of each item leaves a task.
-    """
-    left = items.select(F.col("id").alias("item_id"), F.col("vector").alias("a"))
-    right = vocabulary.select(F.col("id").alias("match_id"), F.col("vector").alias("b"))
-    pairs = left.crossJoin(right).select("item_id", "match_id", stats.cosine(F.col("a"), F.col("b")).alias("score"))
-    best = pairs.where("score is not null").groupBy("item_id").agg(F.max(F.struct("score", (-F.col("match_id")).alias("m"))).alias("x"))
-    return best.select("item_id", (-F.col("x.m")).alias("match_id"), F.col("x.score").alias("score")).where(F.col("score") >= cutoff)
+    """``(item_id, match_id, score)``: each item's nearest vocabulary vector by cosine, if it reaches the cutoff (`nearest.nearest`)."""
+    return nearest.nearest(items, vocabulary, cutoff)
 
 
-def nearest_other(rows: DataFrame, cutoff: float = COSINE_CUTOFF, block: int = BLOCK, asked: str = "true") -> DataFrame:
+def nearest_other(rows: DataFrame, cutoff: float = COSINE_CUTOFF, block: int = nearest.BLOCK, asked: str = "true") -> DataFrame:
     """``(item_id, match_id, score)``: each row's nearest other row by cosine, if it reaches the cutoff.
 
-    Rows (id, vector) with distinct ids. Blocks of about ``block`` rows meet one another within a task, so pairs are
-    never rows; of equal scores the least id stands. Vectors of different sizes aren't compared; null vectors, ones
-    with null or of no length match nothing. ``asked`` (a condition) chooses the rows that are queries; all rows are
-    searched. Scores that agree to nine places are equal.
+    ``asked`` (a condition) chooses the rows that are queries; all rows are searched.
     """
-    n = max(1, -(-rows.count() // block))
-    good = rows.where("id is not null and vector is not null and not exists(vector, x -> x is null)")
-    good = good.select("id", F.col("vector").cast("array<double>").alias("vector"), F.size("vector").alias("size"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("own"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = good.where(asked).select("size", F.col("own").alias("i"), every.alias("j"), "id", "vector")
-    right = good.select("size", every.alias("i"), F.col("own").alias("j"), "id", "vector")
-
-    def unit(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        frame = frame.sort_values("id")
-        x = np.array(frame["vector"].tolist(), dtype=float).reshape(len(frame), -1)
-        length = np.sqrt((x * x).sum(axis=1))
-        ok = length > 0
-        return frame["id"].to_numpy()[ok], x[ok] / length[ok, None]
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        (ids, x), (others, y) = unit(a), unit(b)
-        if not len(ids) or not len(others):
-            return pd.DataFrame({"item_id": [], "match_id": [], "score": []}).astype({"item_id": "int64", "match_id": "int64", "score": "float64"})
-        scores = np.where(ids[:, None] == others[None, :], -np.inf, np.round(x @ y.T, 9))
-        best = scores.argmax(axis=1)
-        return pd.DataFrame({"item_id": ids, "match_id": others[best], "score": scores[np.arange(len(ids)), best]})
-
-    found = left.groupBy("size", "i", "j").cogroup(right.groupBy("size", "i", "j")).applyInPandas(run, "item_id long, match_id long, score double")
-    best = found.where(F.col("score") >= cutoff).groupBy("item_id").agg(F.max(F.struct("score", (-F.col("match_id")).alias("m"))).alias("x"))
-    return best.select("item_id", (-F.col("x.m")).alias("match_id"), F.col("x.score").alias("score"))
+    return nearest.nearest(rows.where(asked), rows, cutoff, other=True, block=block)
 
 
 def encode(texts: DataFrame, encoder: Callable[[], Callable[[list[str]], np.ndarray]], column: str = "text") -> DataFrame:

@@ -399,6 +399,14 @@ def cosine_top1(spark: SparkSession, d: str) -> DataFrame:
     return near.withColumn("score", F.round("score", 4))
 
 
+@_register("SELECT item_id, arg_max(v, (s, -v)) AS match_id, round(max(s), 4) AS score FROM (SELECT a.vec_id AS item_id, b.vec_id AS v, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS s FROM embeddings a JOIN embeddings b ON a.label % 2 = 1 AND b.label % 2 = 0) GROUP BY item_id HAVING max(s) >= 0.1")
+def vector_ground(spark: SparkSession, d: str) -> DataFrame:
+    """Items to vocabulary by vectors: each vector with an odd label to the nearest one with an even label."""
+    rows = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    near = grounding.vector_top1(rows.where("label % 2 = 1"), rows.where("label % 2 = 0"), 0.1)
+    return near.withColumn("score", F.round("score", 4))
+
+
 @_register()
 def cosine_nearest(spark: SparkSession, d: str) -> DataFrame:
     """Each vector's nearest other vector in the whole table."""
