@@ -14,6 +14,8 @@ LABELS = {0: "Cybersecurity / Information Security", 1: "Data Science / Data Eng
 PER_CATEGORY, MIN_CHARS, SEED = 150, 150, 42
 #: Points of a block where all meet all.
 BLOCK = 2048
+#: Different vectors among which k-means begins.
+START_ROWS = 4096
 
 
 def long_enough(rows: DataFrame, column: str = "description", least: int = MIN_CHARS) -> DataFrame:
@@ -44,38 +46,47 @@ def shuffled_take(rows: DataFrame, by: str, key: str, n: int = PER_CATEGORY, see
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(by).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))).where(F.col("__n") <= n).drop("__n")
 
 
-def silhouette(points: DataFrame, block: int = BLOCK) -> DataFrame:
-    """One row ``(silhouette)``: mean Euclidean silhouette of ``(id, vector, cluster)``, single points as 0; null without points.
+def silhouettes(points: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``(place, silhouette)``: mean Euclidean silhouette of ``(id, vector, clusters)`` for each place of the array of cluster numbers.
 
-    Every point meets every other, in blocks of about ``block`` rows within a task, by a product of matrices. What leaves a
-    task is a sum for each point and cluster, so pairs are never rows. Ids are distinct; vectors that are null, have a null or no
-    numbers, and points without a cluster are left out. All vectors have one length.
+    Every point meets every other once, whatever the number of clusterings, in blocks of about ``block`` rows within a task, by a
+    product of matrices. What leaves a task is a sum for each point and cluster, so pairs are never rows. Single points count as 0.
+    Ids are distinct; vectors that are null, have a null or no numbers, and points without clusters are left out. All vectors
+    have one length.
     """
-    good = points.where("id is not null and cluster is not null and size(vector) > 0 and not exists(vector, x -> x is null)")
+    good = points.where("id is not null and size(clusters) > 0 and not exists(clusters, x -> x is null) and size(vector) > 0 and not exists(vector, x -> x is null)")
     n = max(1, -(-good.count() // block))
-    good = good.select("id", F.col("vector").cast("array<double>").alias("vector"), F.col("cluster").cast("long").alias("cluster"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("own"))
+    good = good.select("id", F.col("vector").cast("array<double>").alias("vector"), F.col("clusters").cast("array<bigint>").alias("clusters"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("own"))
     every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = good.select(F.col("own").alias("i"), every.alias("j"), "id", "vector", "cluster")
-    right = good.select(every.alias("i"), F.col("own").alias("j"), "id", "vector", "cluster")
+    left = good.select(F.col("own").alias("i"), every.alias("j"), "id", "vector", "clusters")
+    right = good.select(every.alias("i"), F.col("own").alias("j"), "id", "vector", "clusters")
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        groups, member = np.unique(b["cluster"], return_inverse=True)
-        total = np.zeros((len(a), len(groups)))
+        out = []
         if len(a) and len(b):
             x, y = (np.array(f["vector"].tolist(), dtype=float) for f in (a, b))
             d = np.sqrt(np.maximum(0, (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T))
             d[a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]] = 0.0
-            total = d @ (member[:, None] == np.arange(len(groups))[None, :]).astype(float)
-        return pd.DataFrame({"i": np.repeat(a["id"].to_numpy(), len(groups)), "own": np.repeat(a["cluster"].to_numpy(), len(groups)), "cluster": np.tile(groups, len(a)), "d": total.ravel()})
+            mine, theirs = (np.array(f["clusters"].tolist(), dtype=np.int64) for f in (a, b))
+            for place in range(mine.shape[1]):
+                groups, member = np.unique(theirs[:, place], return_inverse=True)
+                total = d @ (member[:, None] == np.arange(len(groups))[None, :]).astype(float)
+                out.append(pd.DataFrame({"i": np.repeat(a["id"].to_numpy(), len(groups)), "place": place, "own": np.repeat(mine[:, place], len(groups)), "cluster": np.tile(groups, len(a)), "d": total.ravel()}))
+        return pd.concat(out) if out else pd.DataFrame({"i": [], "place": [], "own": [], "cluster": [], "d": []}).astype({"i": a["id"].dtype, "place": int, "own": int, "cluster": int})
 
     kind = points.schema["id"].dataType.simpleString()
-    sums = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, f"i {kind}, own long, cluster long, d double")
-    sizes = good.groupBy("cluster").agg(F.count("*").alias("n"))
-    means = sums.groupBy("i", "own", "cluster").agg(F.sum("d").alias("d")).join(sizes, "cluster")
+    sums = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, f"i {kind}, place int, own long, cluster long, d double")
+    sizes = good.select(F.posexplode("clusters").alias("place", "cluster")).groupBy("place", "cluster").agg(F.count("*").alias("n"))
+    means = sums.groupBy("i", "place", "own", "cluster").agg(F.sum("d").alias("d")).join(sizes, ["place", "cluster"])
     same = F.col("own") == F.col("cluster")
-    each = means.groupBy("i").agg(F.max(F.when(same & (F.col("n") > 1), F.col("d") / (F.col("n") - 1))).alias("inner"), F.min(F.when(~same, F.col("d") / F.col("n"))).alias("outer"))
+    each = means.groupBy("i", "place").agg(F.max(F.when(same & (F.col("n") > 1), F.col("d") / (F.col("n") - 1))).alias("inner"), F.min(F.when(~same, F.col("d") / F.col("n"))).alias("outer"))
     s = F.when(F.col("inner").isNull() | F.col("outer").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("outer") - F.col("inner"), F.greatest("outer", "inner")), F.lit(0.0)))
-    return each.agg(F.avg(s).alias("silhouette"))
+    return each.groupBy("place").agg(F.avg(s).alias("silhouette"))
+
+
+def silhouette(points: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row ``(silhouette)``: that of ``(id, vector, cluster)`` (see `silhouettes`); null without points."""
+    return silhouettes(points.where("cluster is not null").select("id", "vector", F.array("cluster").alias("clusters")), block).agg(F.max("silhouette").alias("silhouette"))
 
 
 def silhouette_blocks(points: np.ndarray, labels: np.ndarray, block: int = 512) -> float:
@@ -109,17 +120,125 @@ def kmeans(points: DataFrame, k: int, seeds=(SEED,)) -> DataFrame:
     return best.transform(rows).select("id", "vector", F.col("prediction").alias("cluster"))
 
 
-def pick_k(points: DataFrame, ks: range = range(6, 21), seeds=tuple(range(SEED, SEED + 10))) -> tuple[int, float, DataFrame]:
-    """The k with the best silhouette of all points (the least of equals), its silhouette and clusters."""
-    best = None
-    for k in ks:
-        found = kmeans(points, k, seeds)
-        score = silhouette(found).first()[0]
-        if score is not None and (best is None or score > best[1]):
-            best = (k, score, found)
+def spread_starts(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k of the points, each drawn by its squared distance to those before."""
+    chosen = [int(rng.integers(len(points)))]
+    d = ((points - points[chosen[0]]) ** 2).sum(axis=1)
+    for _ in range(k - 1):
+        total = d.sum()
+        chosen.append(int(rng.choice(len(points), p=d / total)) if total > 0 else int(rng.integers(len(points))))
+        d = np.minimum(d, ((points - points[chosen[-1]]) ** 2).sum(axis=1))
+    return points[chosen]
+
+
+def _matrix(batch: pd.DataFrame) -> np.ndarray:
+    return np.array(batch["vector"].tolist(), dtype=float)
+
+
+def _squares(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    return np.maximum(0.0, (x * x).sum(axis=1)[:, None] + (centers * centers).sum(axis=1)[None, :] - 2 * x @ centers.T)
+
+
+def _pass(points: DataFrame, models: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """One pass over the points for all models: sums and counts of each model's clusters, and its cost.
+
+    A task sends a row for each cluster of each model, however many points it has seen.
+    """
+    sizes = [len(m) for m in models]
+    ends = np.cumsum(sizes)
+    dim = models[0].shape[1]
+    sent = points.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches):
+        stacked = np.concatenate(sent.value)
+        sums, seen, cost = np.zeros((len(stacked), dim)), np.zeros(len(stacked)), np.zeros(len(stacked))
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = _matrix(batch)
+            d = _squares(x, stacked)
+            member = np.zeros_like(d)
+            for end, k in zip(ends, sizes):
+                own = d[:, end - k : end].argmin(axis=1)
+                member[np.arange(len(x)), end - k + own] = 1
+            sums += member.T @ x
+            seen += member.sum(axis=0)
+            cost += (member * d).sum(axis=0)
+        yield pd.DataFrame({"slot": np.arange(len(stacked), dtype=np.int32), "n": seen, "cost": cost, "sums": list(sums)})
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["slot", "n", "cost"])
+        slots, place = np.unique(rows["slot"], return_inverse=True)
+        total = np.zeros((len(slots), dim + 2))
+        np.add.at(total, place, np.column_stack([rows["n"], rows["cost"], np.array(rows["sums"].tolist())]))
+        return pd.DataFrame({"slot": slots, "n": total[:, 0], "cost": total[:, 1], "sums": list(total[:, 2:])})
+
+    kind = "slot int, n double, cost double, sums array<double>"
+    found = points.select("vector").mapInPandas(run, kind).groupBy((F.col("slot") / 64).cast("int")).applyInPandas(add, kind).orderBy("slot").toPandas()  # one row a cluster
+    sums, n, cost = np.array(found["sums"].tolist()), found["n"].to_numpy(), found["cost"].to_numpy()
+    return [(sums[e - k : e], n[e - k : e], float(cost[e - k : e].sum())) for e, k in zip(ends, sizes)]
+
+
+def lloyd(points: DataFrame, ks: list[int], starts: int = 10, seed: int = SEED, turns: int = 50) -> dict[int, tuple[np.ndarray, float]]:
+    """For each k the centers and the cost of the best of ``starts`` runs of k-means on ``(id, vector)``.
+
+    All runs of all k move together: each turn is one pass over the points, for the runs that still move, so there are ``turns`` passes
+    and one more at most, whatever the number of runs. Runs begin at points of a sample of about ``START_ROWS`` different vectors,
+    spread by distance; a cluster without points keeps its center; a run ends when its centers move by less than 1e-4 of the
+    points' mean variance. With fewer different vectors than k, centers repeat.
+    """
+    different = points.select("vector").distinct()
+    n = different.count()
+    sample = _matrix(different.where(F.pmod(F.xxhash64("vector"), F.lit(1 << 30)) < F.lit((1 << 30) * START_ROWS // max(n, START_ROWS))).toPandas())  # START_ROWS in expectation
+    if not len(sample):
+        return {}
+    sample = sample[np.lexsort(sample.T)]
+    least = 1e-4 * float(sample.var(axis=0).mean())
+    runs = [[k, spread_starts(sample, k, np.random.default_rng([seed, k, r])), True] for k in ks for r in range(starts)]
+    for _ in range(turns):
+        moving = [r for r in runs if r[2]]
+        if not moving:
+            break
+        for r, (sums, n, _) in zip(moving, _pass(points, [r[1] for r in moving])):
+            new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], r[1])
+            r[2] = float(((new - r[1]) ** 2).sum()) > least
+            r[1] = new
+    best: dict[int, tuple[np.ndarray, float]] = {}
+    for (k, centers, _), (_, _, cost) in zip(runs, _pass(points, [r[1] for r in runs])):
+        if k not in best or cost < best[k][1]:
+            best[k] = (centers, cost)
     return best
 
 
+def assigned(points: DataFrame, models: list[np.ndarray]) -> DataFrame:
+    """``(id, vector, clusters)``: the nearest center of each model, of equally near ones the first."""
+    sent = points.sparkSession.sparkContext.broadcast(models)
+
+    @F.pandas_udf("array<int>")
+    def nearest(vectors: pd.Series) -> pd.Series:
+        x = np.array(vectors.tolist(), dtype=float)
+        return pd.Series(list(np.stack([_squares(x, m).argmin(axis=1) for m in sent.value], axis=1).astype(np.int32)))
+
+    return points.select("id", "vector", nearest("vector").alias("clusters"))
+
+
+def pick_k(points: DataFrame, ks: range | list[int] = range(6, 21), starts: int = 10, seed: int = SEED) -> tuple[int, float, DataFrame] | None:
+    """The k with the best silhouette of all points (the least of equals), its silhouette and clusters; none without points.
+
+    Points are ``(id, vector)``; vectors that are null, have a null or no numbers are left out; all have one length. Of each k's
+    ``starts`` runs the cheapest counts. One pass deals the points to all k, one meeting of all points gives all silhouettes.
+    """
+    ks = sorted(ks)
+    good = points.where("id is not null and size(vector) > 0 and not exists(vector, x -> x is null)").select("id", F.col("vector").cast("array<double>").alias("vector"))
+    best = lloyd(good, ks, starts, seed)
+    if not best:
+        return None
+    found = assigned(good, [best[k][0] for k in ks])
+    scores = {r["place"]: r["silhouette"] for r in silhouettes(found).collect()}
+    place = max(range(len(ks)), key=lambda i: (scores[i], -i))
+    return ks[place], scores[place], found.select("id", "vector", F.get("clusters", F.lit(place)).alias("cluster"))
+
+
 def role_labels(cluster_ids: DataFrame, labels: dict[int, str] = LABELS) -> DataFrame:
     """``(cluster_id, role_label)``: the given name, else ``Cluster n``."""
     names = cluster_ids.sparkSession.createDataFrame(list(labels.items()), "cluster_id long, __label string")

@@ -437,9 +437,9 @@ def silhouette_labels(spark: SparkSession, d: str) -> DataFrame:
 
 @_register()
 def kmeans_choice(spark: SparkSession, d: str) -> DataFrame:
-    """Clusters of the vectors for the k from 6 to 20 that parts them best, by the silhouette of all points."""
+    """Clusters of the vectors for the k from 6 to 20 that parts them best, ten starts each, by the silhouette of all points."""
     rows = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    k, score, found = clustering.pick_k(rows, seeds=(clustering.SEED,))
+    k, score, found = clustering.pick_k(rows)
     return found.select("id", "cluster", F.lit(k).alias("k"), F.lit(score).alias("silhouette"))
 
 
