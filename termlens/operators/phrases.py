@@ -51,6 +51,7 @@ class Filter:
 
     def __init__(self, openings: dict[int, int], long: list[int], words: np.ndarray):
         self.openings, self.long, self.words = openings, long, words
+        self.raw, self.bits = words.astype("<u8").tobytes(), 64 * len(words)
         self.lengths = lru_cache(1 << 16)(self._lengths)
 
     def __reduce__(self):
@@ -62,7 +63,8 @@ class Filter:
         return [n for n in range(1, MANY) if mask >> n & 1] + (self.long if mask >> MANY & 1 else [])
 
     def may_be(self, term: str) -> bool:
-        return all(int(self.words[p >> 6]) >> (p & 63) & 1 for p in _places(term, 64 * len(self.words)))
+        raw, (a, b, c) = self.raw, _places(term, self.bits)
+        return bool(raw[a >> 3] >> (a & 7) & 1 and raw[b >> 3] >> (b & 7) & 1 and raw[c >> 3] >> (c & 7) & 1)
 
     def runs(self, text: str) -> dict[str, list[tuple[int, int]]]:
         """``{run: [(first token, after the last), ..]}``."""
@@ -71,7 +73,7 @@ class Filter:
         other: set[str] = set()
         for i, token in enumerate(t):
             lengths = self.lengths(token)
-            if not lengths or i and token not in _WORD and len(token) == 1 and t[i - 1][0] in _WORD and token[0] not in _WORD:
+            if not lengths or i and token[0] not in _WORD and t[i - 1][0] in _WORD:
                 continue
             for n in lengths:
                 end = i + n
