@@ -6,9 +6,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termlens.functions import stats
 from termlens.functions import text as tx
 from termlens.operators import extraction, gaps
-from termlens.sources import sinks
+from termlens.operators import trends as trend
+from termlens.sources import sinks, stage
+from termlens.sources.tables import TREND_EXCLUDED
 
 MIN_WORD = 4
 POSTINGS = "en"
@@ -51,35 +54,59 @@ def totals(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").where(F.col("lang") != POSTINGS).groupBy(F.col("lang").alias("program")).agg(F.count("*").alias("n_courses"))
 
 
-def rates(spark: SparkSession, d: str) -> DataFrame:
-    f = found(spark, d)
+def extracted(spark: SparkSession, d: str) -> DataFrame:
+    """`found`, written once for the queries that count it in several ways: the texts are read for it only."""
+    return stage.written(found(spark, d))
+
+
+def rates(spark: SparkSession, d: str, f: DataFrame | None = None) -> DataFrame:
+    f = extracted(spark, d) if f is None else f
     n = read(spark, d, "documents").where(F.col("lang") == POSTINGS).agg(F.count("*").alias("n_postings"))
     return gaps.rates(coverage(f), gaps.relevant(demand(f), skills(spark, d)), totals(spark, d), n)
 
 
-def gap_scores(spark: SparkSession, d: str) -> DataFrame:
-    return gaps.gap_scores(rates(spark, d))
+def gap_scores(spark: SparkSession, d: str, f: DataFrame | None = None) -> DataFrame:
+    return gaps.gap_scores(rates(spark, d, f))
+
+
+def sightings(spark: SparkSession, d: str) -> DataFrame:
+    """(event_id, doc_id, week): the history of postings. The tables have no dates of documents; each event shows the document
+    with the number of its user, counted on from the first document after the last."""
+    events = read(spark, d, "events").select("event_id", "user_id", stats.iso_week(F.col("ts")).alias("week"))
+    n = read(spark, d, "documents").agg(F.count("*").alias("n"))
+    return events.crossJoin(F.broadcast(n)).where("n > 0").select("event_id", F.pmod("user_id", "n").alias("doc_id"), "week")  # n: one row
+
+
+def skill_trends(spark: SparkSession, d: str, f: DataFrame | None = None) -> DataFrame:
+    """(skill_id, slope, p_value, .., trend_label): the weekly demand of each skill that isn't too common as a word."""
+    f = extracted(spark, d) if f is None else f
+    own = skills(spark, d).where(~F.lower(F.trim("name")).isin(*TREND_EXCLUDED)).select("skill_id")
+    seen = sightings(spark, d)
+    rows = seen.join(f.select("doc_id", "skill_id").join(own, "skill_id"), "doc_id")
+    rates = trend.dense_rates(trend.weekly(rows, "event_id", "skill_id", "week"), trend.kept_weeks(seen, "event_id", "week"))
+    return trend.regression(rates).withColumnRenamed("skill", "skill_id")
 
 
-def trends(spark: SparkSession, d: str) -> DataFrame:
-    """A trend for two of three skills: the vocabulary has no dates of its own."""
-    return skills(spark, d).where("skill_id % 3 <> 2").select("skill_id", F.when(F.col("skill_id") % 3 == 0, "rising").otherwise("falling").alias("trend_label"))
+def trends(spark: SparkSession, d: str, f: DataFrame | None = None) -> DataFrame:
+    return skill_trends(spark, d, f).select("skill_id", "trend_label")
 
 
-def recommendations(spark: SparkSession, d: str) -> DataFrame:
-    return gaps.recommendations(gap_scores(spark, d), trends(spark, d))
+def recommendations(spark: SparkSession, d: str, f: DataFrame | None = None) -> DataFrame:
+    f = extracted(spark, d) if f is None else f
+    return gaps.recommendations(gap_scores(spark, d, f), trends(spark, d, f))
 
 
 def tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    """Frames with the domain's schemas (as far as the views read them)."""
+    """Frames with the domain's schemas (as far as the views read them), all from one extraction."""
     docs = read(spark, d, "documents")
     programs = sinks.with_ids(docs.where(F.col("lang") != POSTINGS).select("lang").distinct(), "program_id", ["lang"])
     programs = programs.select("program_id", "lang", F.concat(F.lit("University of "), F.upper("lang")).alias("university"), F.lit("Catalog").alias("program_name"))
     code = programs.select("program_id", F.col("lang").alias("program"))
-    f = found(spark, d)
+    f = extracted(spark, d)
     kind = F.when(F.col("lang") == POSTINGS, "posting").otherwise("course")
-    scores = gap_scores(spark, d).join(code, "program").select("program_id", "skill_id", F.col("coverage_rate").alias("program_coverage_rate"), F.col("demand_rate").alias("market_demand_rate"), "gap_value", "p_value", "q_value")
-    recs = recommendations(spark, d).join(code, "program").select("program_id", "skill_id", "gap_value", "trend_label", "priority_score", "priority_tier", "rationale", "rank")
+    found_gaps = stage.written(gap_scores(spark, d, f))  # a row for a program and skill
+    scores = found_gaps.join(code, "program").select("program_id", "skill_id", F.col("coverage_rate").alias("program_coverage_rate"), F.col("demand_rate").alias("market_demand_rate"), "gap_value", "p_value", "q_value")
+    recs = gaps.recommendations(found_gaps, trends(spark, d, f)).join(code, "program").select("program_id", "skill_id", "gap_value", "trend_label", "priority_score", "priority_tier", "rationale", "rank")
     clusters = sinks.with_ids(docs.select(F.col("source").alias("role_label")).distinct(), "cluster_id", ["role_label"])
     return {
         "programs": programs.drop("lang"),

@@ -13,8 +13,8 @@ from termlens.operators import clustering, evaluate, extraction, gaps, grounding
 from termlens.operators import trends as tr
 from termlens.plans import domain, views
 from termlens.plans.domain import read
-from termlens.sources import catalogs, files, sinks
-from termlens.sources.tables import GAP_EXCLUDED, programs
+from termlens.sources import catalogs, files, sinks, stage
+from termlens.sources.tables import GAP_EXCLUDED, TREND_EXCLUDED, programs
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -32,6 +32,15 @@ def _register(sql: str | None = None):
 
 # Parts of the SQL. Each names one relation; _with puts those it needs in front.
 _WORDS = "regexp_split_to_array(lower(text), '[^a-z0-9_]+')"
+
+
+def _regressed(key: str, rates: str) -> str:
+    """Regression of a dense series for each key. p in closed form for three degrees of freedom (five weeks), which sf0.01 and sf0.1
+    have; a constant series has slope and r 0 and p 1."""
+    return f"""SELECT {key}, n AS weeks_covered, slope, r2, intercept, sign(slope) * sqrt(r2) AS r, sqrt((1 - r2) * syy / sxx / (n - 2)) AS se, CASE WHEN r2 >= 1 THEN 0.0 ELSE 1 - 2 / pi() * (atan(t / sqrt(3.0)) + sin(atan(t / sqrt(3.0))) * cos(atan(t / sqrt(3.0)))) END AS p, first_half_rate, second_half_rate
+FROM (SELECT *, sqrt(3 * r2 / (1 - r2)) AS t FROM (SELECT {key}, count(*)::INTEGER AS n, CASE WHEN min(rate) = max(rate) THEN 0.0 ELSE regr_slope(rate, idx) END AS slope, CASE WHEN min(rate) = max(rate) THEN avg(rate) ELSE regr_intercept(rate, idx) END AS intercept, regr_sxx(rate, idx) AS sxx, regr_syy(rate, idx) AS syy, CASE WHEN min(rate) = max(rate) THEN 0.0 ELSE pow(regr_sxy(rate, idx), 2) / (regr_sxx(rate, idx) * regr_syy(rate, idx)) END AS r2, avg(rate) FILTER (idx < floor(m / 2)) AS first_half_rate, avg(rate) FILTER (idx >= floor(m / 2)) AS second_half_rate FROM (SELECT *, count(*) OVER (PARTITION BY {key}) AS m FROM {rates}) GROUP BY {key} HAVING count(*) >= 5))"""
+
+
 _PARTS = {
     "sk": f"SELECT row_number() OVER (ORDER BY name)::BIGINT AS skill_id, name FROM (SELECT DISTINCT unnest({_WORDS}) AS name FROM benchmark) WHERE length(name) >= 4",
     "fd": f"SELECT DISTINCT w.doc_id, w.lang, w.source, sk.skill_id FROM (SELECT doc_id, lang, source, unnest({_WORDS}) AS name FROM documents) w JOIN sk USING (name)",
@@ -46,15 +55,19 @@ _PARTS = {
     "pp": "SELECT *, CASE WHEN x > 0 AND x < m THEN least(1.0, 2 * (1 - least(1.0, greatest(0.0, 0.5 + exp(-pow(least(9.0, abs(z)), 2) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 121), lambda k: pow(least(9.0, abs(z)), 2 * k + 1) * exp(k * ln(2.0) + lgamma(k + 1) - lgamma(2 * k + 2)))))))) ELSE 1.0 END AS p_value FROM zz",
     "qq": "SELECT *, least(1.0, min(raw) OVER (PARTITION BY program ORDER BY p_value, skill_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q_value FROM (SELECT *, p_value * count(*) OVER (PARTITION BY program) / row_number() OVER (PARTITION BY program ORDER BY p_value, skill_id) AS raw FROM pp)",
     "gs": "SELECT * FROM qq WHERE gap_value > 0 AND q_value < 0.05",
-    "td": "SELECT skill_id, CASE WHEN skill_id % 3 = 0 THEN 'rising' ELSE 'falling' END AS trend_label FROM sk WHERE skill_id % 3 <> 2",
-    "re": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY program ORDER BY priority_score DESC, skill_id)::INTEGER AS rank FROM (SELECT gs.*, coalesce(td.trend_label, 'no trend data') AS trend_label, gap_value * CASE WHEN td.trend_label = 'rising' THEN 1.5::DOUBLE WHEN td.trend_label = 'falling' THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END AS priority_score FROM gs LEFT JOIN td USING (skill_id))) WHERE rank <= 10",
-    "rt": "SELECT *, CASE WHEN rank <= 3 THEN 'high' WHEN rank <= 7 THEN 'medium' ELSE 'low' END AS priority_tier FROM re",
-    "pg": "SELECT row_number() OVER (ORDER BY lang)::BIGINT AS program_id, lang AS program, 'University of ' || upper(lang) AS university, 'Catalog' AS program_name FROM (SELECT DISTINCT lang FROM documents WHERE lang <> 'en')",
     "wk": "SELECT strftime(ts, '%G-W%V') AS week, count(DISTINCT event_id) AS total FROM events GROUP BY ALL HAVING count(DISTINCT event_id) >= 100",
     "wc": "SELECT event_type AS skill, strftime(ts, '%G-W%V') AS week, count(DISTINCT event_id) AS n FROM events GROUP BY ALL",
     "dr": "SELECT s.skill, w.week, w.total, w.idx, coalesce(wc.n, 0) AS n, coalesce(wc.n, 0) / w.total AS rate FROM (SELECT DISTINCT skill FROM wc) s CROSS JOIN (SELECT *, row_number() OVER (ORDER BY week) - 1 AS idx FROM wk) w LEFT JOIN wc ON wc.skill = s.skill AND wc.week = w.week",
-    # p in closed form for three degrees of freedom (five weeks), which sf0.01 and sf0.1 have.
-    "rg": "SELECT skill, n AS weeks_covered, slope, r2, intercept, sign(slope) * sqrt(r2) AS r, sqrt((1 - r2) * syy / sxx / (n - 2)) AS se, CASE WHEN r2 >= 1 THEN 0.0 ELSE 1 - 2 / pi() * (atan(t / sqrt(3.0)) + sin(atan(t / sqrt(3.0))) * cos(atan(t / sqrt(3.0)))) END AS p, first_half_rate, second_half_rate FROM (SELECT *, sqrt(3 * r2 / (1 - r2)) AS t FROM (SELECT skill, count(*)::INTEGER AS n, regr_slope(rate, idx) AS slope, regr_intercept(rate, idx) AS intercept, regr_sxx(rate, idx) AS sxx, regr_syy(rate, idx) AS syy, pow(regr_sxy(rate, idx), 2) / (regr_sxx(rate, idx) * regr_syy(rate, idx)) AS r2, avg(rate) FILTER (idx < floor(m / 2)) AS first_half_rate, avg(rate) FILTER (idx >= floor(m / 2)) AS second_half_rate FROM (SELECT *, count(*) OVER (PARTITION BY skill) AS m FROM dr) GROUP BY skill HAVING count(*) >= 5))",
+    # Each event shows the document with the number of its user, counted round.
+    "sg": "SELECT e.event_id, d.doc_id, strftime(e.ts, '%G-W%V') AS week FROM events e JOIN documents d ON d.doc_id = e.user_id % (SELECT count(*) FROM documents)",
+    "hw": f"SELECT fd.skill_id, sg.week, count(DISTINCT sg.event_id) AS n FROM sg JOIN fd USING (doc_id) WHERE fd.skill_id IN (SELECT skill_id FROM sk WHERE name NOT IN {TREND_EXCLUDED}) GROUP BY ALL",
+    "hd": "SELECT s.skill_id, w.week, w.total, w.idx, coalesce(hw.n, 0) / w.total AS rate FROM (SELECT DISTINCT skill_id FROM hw) s CROSS JOIN (SELECT *, row_number() OVER (ORDER BY week) - 1 AS idx FROM wk) w LEFT JOIN hw ON hw.skill_id = s.skill_id AND hw.week = w.week",
+    "hr": _regressed("skill_id", "hd"),
+    "td": "SELECT skill_id, CASE WHEN p >= 0.05 THEN 'no clear trend' WHEN slope > 0 THEN 'rising' ELSE 'falling' END AS trend_label, slope, p, r2, weeks_covered, first_half_rate, second_half_rate FROM hr",
+    "re": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY program ORDER BY priority_score DESC, skill_id)::INTEGER AS rank FROM (SELECT gs.*, coalesce(td.trend_label, 'no trend data') AS trend_label, gap_value * CASE WHEN td.trend_label = 'rising' THEN 1.5::DOUBLE WHEN td.trend_label = 'falling' THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END AS priority_score FROM gs LEFT JOIN td USING (skill_id))) WHERE rank <= 10",
+    "rt": "SELECT *, CASE WHEN rank <= 3 THEN 'high' WHEN rank <= 7 THEN 'medium' ELSE 'low' END AS priority_tier FROM re",
+    "pg": "SELECT row_number() OVER (ORDER BY lang)::BIGINT AS program_id, lang AS program, 'University of ' || upper(lang) AS university, 'Catalog' AS program_name FROM (SELECT DISTINCT lang FROM documents WHERE lang <> 'en')",
+    "rg": _regressed("skill", "dr"),
     "ct": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY demand_rate DESC, skill_id)::INTEGER AS place FROM (SELECT f.source AS cluster_id, f.skill_id, count(DISTINCT f.doc_id) AS n, any_value(t.total) AS total, count(DISTINCT f.doc_id) / any_value(t.total) AS demand_rate FROM fd f JOIN (SELECT source, count(*) AS total FROM documents WHERE lang = 'en' GROUP BY ALL) t ON t.source = f.source WHERE f.lang = 'en' GROUP BY ALL)) WHERE place <= 15",
     "hm": "SELECT pg.program_id, replace(pg.university, 'University of ', 'U. ') AS label, s.skill_id, s.name AS canonical_name, coalesce(cov.n / tot.n_courses, 0.0) AS rate FROM pg CROSS JOIN (SELECT skill_id, name FROM (SELECT skill_id, count(*) AS c FROM gs GROUP BY ALL ORDER BY c DESC, skill_id LIMIT 10) JOIN sk USING (skill_id)) s JOIN tot ON tot.program = pg.program LEFT JOIN cov ON cov.program = pg.program AND cov.skill_id = s.skill_id",
 }
@@ -254,6 +267,25 @@ def trend_view(spark: SparkSession, d: str) -> DataFrame:
     return out.select("canonical_name", "skill_id", "trend_label", F.round("points_per_week", 9).alias("points_per_week"), "place")
 
 
+@_register(_with("td", "SELECT skill_id, weeks_covered, round(slope, 9) AS slope, round(p, 6) AS p_value, round(r2, 6) AS r_squared, trend_label FROM td"))
+def skill_trends(spark: SparkSession, d: str) -> DataFrame:
+    """The demand of each skill over the weeks: some rise, some fall, most do neither."""
+    rows = domain.skill_trends(spark, d)
+    return rows.select("skill_id", "weeks_covered", F.round("slope", 9).alias("slope"), F.round("p_value", 6).alias("p_value"), F.round("r_squared", 6).alias("r_squared"), "trend_label")
+
+
+@_register(_with("td sk", "SELECT skill_id, name AS canonical_name, CASE trend_label WHEN 'no clear trend' THEN 'Flat' WHEN 'rising' THEN 'Rising' ELSE 'Falling' END AS trend, round(slope * 100, 7) AS points_per_week, row_number() OVER (PARTITION BY trend_label ORDER BY round(CASE trend_label WHEN 'falling' THEN slope ELSE -slope END, 12), skill_id)::INTEGER AS place FROM td JOIN sk USING (skill_id)"))
+def skill_trend_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The trend page of the skills: each label's, the steepest first, with points a week."""
+    t = {"skills": domain.skills(spark, d).withColumnRenamed("name", "canonical_name"), "skill_trends": stage.written(domain.skill_trends(spark, d))}
+    out = None
+    for label in ("rising", "falling", "no clear trend"):
+        slope = F.round(F.col("slope") if label == "falling" else -F.col("slope"), 12)
+        page = views.trends(t, label).withColumn("place", F.row_number().over(Window.partitionBy("trend_label").orderBy(slope, "skill_id")))
+        out = page if out is None else out.unionByName(page)
+    return out.select("skill_id", "canonical_name", tx.trend_display(F.col("trend_label")).alias("trend"), F.round("points_per_week", 7).alias("points_per_week"), "place")
+
+
 @_register(_with("rt gs", "SELECT place AS rank, name AS skill, upper(substr(priority_tier, 1, 1)) || substr(priority_tier, 2) AS priority, round(coverage_rate, 4) AS coverage, round(demand_rate, 4) AS demand, round(gap_value, 4) AS gap, CASE trend_label WHEN 'rising' THEN 'Rising' WHEN 'falling' THEN 'Falling' WHEN 'no clear trend' THEN 'Flat' ELSE 'No Trend Data' END AS trend FROM (SELECT *, row_number() OVER (ORDER BY priority_score DESC, skill_id)::INTEGER AS place FROM rt WHERE program = 'de')"))
 def report_table(spark: SparkSession, d: str) -> DataFrame:
     """A program's spreadsheet."""
