@@ -125,9 +125,8 @@ def _ranks(vocabulary: DataFrame) -> dict[tuple[str, int], int]:
     return {(r["c"], r["k"]): len(top) - i for i, r in enumerate(top)}
 
 
-def candidates(asked: DataFrame, vocabulary: DataFrame, cutoff: float) -> DataFrame:
-    """Distinct ``(a, b)``: of ``asked`` and ``vocabulary`` (frames of distinct, filled strings in ``term``) all pairs whose lengths and
-    common characters let them reach the cutoff, and few others."""
+def _meeting(asked: DataFrame, vocabulary: DataFrame, cutoff: float) -> DataFrame:
+    """``(a, b)``: `candidates`, some of them several times."""
     if not 0 < cutoff <= 1:
         raise ValueError("the cutoff is above 0 and at most 1")
     sizes = [sorted(r[0] for r in t.select(F.length("term")).distinct().collect()) for t in (asked, vocabulary)]  # one number a length
@@ -137,7 +136,47 @@ def candidates(asked: DataFrame, vocabulary: DataFrame, cutoff: float) -> DataFr
     both = F.col("la") + F.col("lb")
     common = F.ceil(both * (cutoff / 2) - 1e-6)
     near = (F.least("la", "lb") >= common) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= both - 2 * common)
-    return left.join(right, "key").where(near).select("a", "b").distinct()
+    return left.join(right, "key").where(near).select("a", "b")
+
+
+def candidates(asked: DataFrame, vocabulary: DataFrame, cutoff: float) -> DataFrame:
+    """Distinct ``(a, b)``: of ``asked`` and ``vocabulary`` (frames of distinct, filled strings in ``term``) all pairs whose lengths and
+    common characters let them reach the cutoff, and few others."""
+    return _meeting(asked, vocabulary, cutoff).distinct()
+
+
+class Asked:
+    """One asked term against vocabulary terms, the best so far kept.
+
+    Matching blocks are a common subsequence, so the longest one bounds them; its length takes a few machine words a character. Only a
+    pair whose bound can beat the best is compared by blocks.
+    """
+
+    def __init__(self, term: str, cutoff: float):
+        self.term, self.ratio, self.best = term, cutoff, ""
+        self.full = (1 << len(term)) - 1
+        self.places: dict[str, int] = {}
+        for i, c in enumerate(term):
+            self.places[c] = self.places.get(c, 0) | 1 << i
+        self.matcher = difflib.SequenceMatcher()
+        self.matcher.set_seq2(term)
+
+    def common(self, other: str) -> int:
+        """The length of the longest common subsequence."""
+        v, full, places = self.full, self.full, self.places
+        for c in other:
+            if m := places.get(c):
+                u = v & m
+                v = (v + u | v - u) & full
+        return len(self.term) - v.bit_count()
+
+    def meet(self, other: str) -> None:
+        bound = 2.0 * self.common(other) / (len(self.term) + len(other))
+        if bound > self.ratio or bound == self.ratio and other > self.best:
+            self.matcher.set_seq1(other)
+            ratio = self.matcher.ratio()
+            if ratio > self.ratio or ratio == self.ratio and other > self.best:
+                self.ratio, self.best = ratio, other
 
 
 def nearest(asked: DataFrame, vocabulary: DataFrame, cutoff: float) -> DataFrame:
@@ -147,19 +186,23 @@ def nearest(asked: DataFrame, vocabulary: DataFrame, cutoff: float) -> DataFrame
     copied to all tasks; terms may have any length. Empty tables give an empty result.
     """
 
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        out, matcher, before = [], difflib.SequenceMatcher(), None
-        for x, y in zip(a, b):
-            if x != before:
-                matcher.set_seq2(x)
-                before = x
-            matcher.set_seq1(y)
-            r = matcher.ratio() if matcher.quick_ratio() >= cutoff else 0.0
-            out.append(r if r >= cutoff else None)
-        return pd.Series(out, dtype="float64")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last = None, None
+        for batch in batches:
+            out = []
+            for a, b in zip(batch["a"], batch["b"]):
+                if now is None or a != now.term:
+                    if now is not None and now.best:
+                        out.append((now.term, now.best, now.ratio))
+                    now, last = Asked(a, cutoff), None
+                if b != last:  # pairs that met under several keys follow one another
+                    now.meet(b)
+                    last = b
+            yield pd.DataFrame(out, columns=["a", "b", "ratio"])
+        if now is not None and now.best:
+            yield pd.DataFrame([(now.term, now.best, now.ratio)], columns=["a", "b", "ratio"])
 
     filled = [t.select("term").where("term <> ''") for t in (asked, vocabulary)]
-    pairs = candidates(*filled, cutoff).withColumn("ratio", ratio("a", "b")).where("ratio is not null")
-    best = pairs.groupBy("a").agg(F.max(F.struct("ratio", "b")).alias("x"))
-    return best.select("a", "x.b", "x.ratio")
+    n = 4 * max(1, int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pairs = _meeting(*filled, cutoff).repartition(n, "a").sortWithinPartitions("a", "b")
+    return pairs.mapInPandas(run, "a string, b string, ratio double")
