@@ -14,11 +14,12 @@ SERIES = 120
 def normal_cdf(x: Column) -> Column:
     """``1/2 + phi(x) * (x + x^3/3 + x^5/(3*5) + ...)``, held to [0, 1]; x at most 9 deviations."""
     x = F.greatest(F.lit(-9.0), F.least(F.lit(9.0), x))
-    start = F.struct(x.alias("term"), x.alias("total"))
+    # The square goes along with the sums: a step that named x would work x out again each time.
+    start = F.struct(x.alias("term"), x.alias("total"), (x * x).alias("square"))
 
     def step(acc: Column, k: Column) -> Column:
-        term = acc["term"] * x * x / (2 * k + 1)
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+        term = acc["term"] * acc["square"] / (2 * k + 1)
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"), acc["square"].alias("square"))
 
     total = F.aggregate(F.sequence(F.lit(1), F.lit(SERIES)), start, step, lambda acc: acc["total"])
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 + F.exp(-x * x / 2) / math.sqrt(2 * math.pi) * total))
@@ -64,14 +65,19 @@ def student_p(t: Column, df: Column) -> Column:
     """Two-sided p of Student's t with whole degrees of freedom, by the finite trigonometric sums."""
     theta = F.atan(F.abs(t) / F.sqrt(df))
     c, s = F.cos(theta), F.sin(theta)
-    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"), (c * c).alias("square"))
     none = F.array().cast("array<int>")
 
     def run(first: int) -> Column:
         """1 + a c^2 + a b c^4 ...: each factor is (k - 1) / k for k = first, first + 2, ... up to df - 2 (or - 1)."""
         last = df - 2
         steps = F.when(last >= first, F.sequence(F.lit(first), last.cast("int"), F.lit(2))).otherwise(none)
-        return F.aggregate(steps, start, lambda acc, k: F.struct((acc["term"] * c * c * (k - 1) / k).alias("term"), (acc["total"] + acc["term"] * c * c * (k - 1) / k).alias("total")), lambda acc: acc["total"])
+
+        def step(acc: Column, k: Column) -> Column:
+            term = acc["term"] * acc["square"] * (k - 1) / k
+            return F.struct(term.alias("term"), (acc["total"] + term).alias("total"), acc["square"].alias("square"))
+
+        return F.aggregate(steps, start, step, lambda acc: acc["total"])
 
     odd = F.when(df == 1, 2 * theta / math.pi).otherwise(2 / math.pi * (theta + s * c * run(3)))
     even = s * run(2)

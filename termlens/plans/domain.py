@@ -56,7 +56,7 @@ def totals(spark: SparkSession, d: str) -> DataFrame:
 
 def extracted(spark: SparkSession, d: str) -> DataFrame:
     """`found`, written once for the queries that count it in several ways: the texts are read for it only."""
-    return stage.written(found(spark, d))
+    return stage.written(extraction.extract_words(read(spark, d, "documents"), stage.written(skills(spark, d)), keep=("lang", "source")))
 
 
 def rates(spark: SparkSession, d: str, f: DataFrame | None = None) -> DataFrame:

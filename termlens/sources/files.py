@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "maxCharsPerColumn": 10_000_000}
+from termlens.sources import split_csv
+
 JOB = "id string, title string, description string, created string, redirect_url string, salary_is_predicted string, salary_min double, salary_max double, latitude double, longitude double, company struct<display_name:string>, location struct<display_name:string,area:array<string>>, category struct<label:string,tag:string>"
 TECHNOLOGY = "category_code long, category_title string, examples array<struct<title:string,hot_technology:boolean,in_demand:boolean>>, used_by_occupations array<string>"
 SKILL = "id string, name string, description string, onet_category string, used_by_occupations array<string>"
@@ -18,18 +19,15 @@ def query(spark: SparkSession, sql: str, params: tuple = ()) -> DataFrame:
 
 
 def csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """All-string CSV by header name; quoted fields may hold line breaks and doubled quotes.
-
-    Such a file can't be split: convert large ones to Parquet once (``csv(...).write.parquet``) and read that.
-    """
-    return spark.read.options(**CSV).csv(path).select(*columns)
+    """All-string CSV by header name; quoted fields may hold line breaks and doubled quotes. Large files are read by many tasks."""
+    return split_csv.read(spark, path, columns).select(*columns)
 
 
 def csv_tree(spark: SparkSession, root: str) -> DataFrame:
     """All CSV files below a folder, with ``source_name``: the path below the folder, separators as underscores."""
-    rows = spark.read.options(**CSV, recursiveFileLookup=True, pathGlobFilter="*.csv").csv(root)
-    below = F.regexp_replace(F.col("_metadata.file_path"), rf"^.*?{root.strip('/').split('/')[-1]}/", "")
-    return rows.withColumn("source_name", F.regexp_replace(below, "/", "_"))
+    rows = split_csv.read(spark, root, options={"recursiveFileLookup": "true", "pathGlobFilter": "*.csv"})
+    below = F.regexp_replace(F.col("file"), rf"^.*?{root.strip('/').split('/')[-1]}/", "")
+    return rows.withColumn("source_name", F.regexp_replace(below, "/", "_")).drop("file")
 
 
 def json_list(spark: SparkSession, path: str, ddl: str) -> DataFrame:
