@@ -26,19 +26,31 @@ def long_enough(rows: DataFrame, column: str = "description", least: int = MIN_C
 def capacity_sample(rows: DataFrame, title: str, order: str, categories=CATEGORIES, capacity: int = PER_CATEGORY * 3) -> DataFrame:
     """``rows`` with ``category``: each row, in order, goes to the first category that its title names and that isn't full.
 
-    One pass for each category: of the rows not yet placed that name it, the first ``capacity`` are its own. That
-    equals the row-by-row rule, since whether a category is full for a row depends on earlier rows only. The first
-    ``capacity`` rows are a top-k of the matching rows, so each partition sends at most that many.
+    A category that isn't full has had fewer than ``capacity`` rows, and each of those before it ``capacity`` at most. So a row goes to
+    the i-th category only if it is among the first ``i * capacity`` rows that name it. These rows, in one pass a top-k for each category, are all
+    that the row-by-row rule needs to see, and their number depends on categories and capacity alone: one task plays them through. ``order`` is a
+    column without repeats; null titles name nothing.
     """
-    left = rows.withColumn("__title", F.lower(F.coalesce(title, F.lit(""))))
-    placed = None
-    for c in categories:
-        mine = left.where(F.contains("__title", F.lit(c)))
-        if placed is not None:
-            mine = mine.join(placed.select(order), order, "left_anti")
-        mine = mine.orderBy(order).limit(capacity).withColumn("category", F.lit(c))
-        placed = mine if placed is None else placed.unionByName(mine)
-    return placed.drop("__title")
+    named = [F.when(F.contains(F.lower(title), F.lit(c)), F.lit(i)) for i, c in enumerate(categories)]
+    hits = rows.select(order, F.explode(F.filter(F.array(*named), lambda i: i.isNotNull())).alias("__i"))
+    first = hits.withColumn("__n", F.row_number().over(Window.partitionBy("__i").orderBy(order))).where(F.col("__n") <= capacity * len(categories))
+    first = first.where(F.col("__n") <= (F.col("__i") + 1) * capacity).groupBy(order).agg(F.array_sort(F.collect_list("__i")).alias("__may"))
+    kind = rows.schema[order].dataType.simpleString()
+
+    def play(batches):
+        taken = [0] * len(categories)
+        for batch in batches:
+            out = []
+            for key, may in zip(batch["k"], batch["may"]):
+                i = next((i for i in may if taken[i] < capacity), None)
+                if i is not None:
+                    taken[i] += 1
+                    out.append((key, categories[i]))
+            yield pd.DataFrame(out, columns=["k", "category"])
+
+    bounded = first.select(F.col(order).alias("k"), F.col("__may").alias("may")).repartition(1).sortWithinPartitions("k")  # capacity * n * (n + 1) / 2 rows at most
+    placed = bounded.mapInPandas(play, f"k {kind}, category string").withColumnRenamed("k", order)
+    return rows.join(placed, order).select(*rows.columns, "category")
 
 
 def shuffled_take(rows: DataFrame, by: str, key: str, n: int = PER_CATEGORY, seed: int = SEED) -> DataFrame:

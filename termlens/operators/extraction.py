@@ -14,11 +14,12 @@ from __future__ import annotations
 import re
 from collections import Counter
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termlens.functions import text as tx
 from termlens.operators import phrases
+from termlens.sources import numbering
 
 _PLAIN = re.compile(r"[a-z0-9_]+(?: [a-z0-9_]+)*")
 
@@ -92,4 +93,4 @@ def vocabulary(skills: DataFrame, technologies: DataFrame) -> DataFrame:
     normal form, as type ``technology``. Numbers follow that order."""
     first = technologies.groupBy(tx.normalize(F.col("term")).alias("norm")).agg(F.min(F.struct("pos", "term")).alias("x")).select("x.*", F.lit("technology").alias("type"))
     both = skills.select(F.lit(0).alias("part"), "pos", "term", "type").unionByName(first.withColumn("part", F.lit(1)))
-    return both.select(F.row_number().over(Window.orderBy("part", "pos", "term")).cast("long").alias("pos"), "term", "type")  # names, no texts
+    return numbering.numbered(both.withColumnRenamed("pos", "__pos"), "pos", ["part", "__pos", "term"]).select("pos", "term", "type")

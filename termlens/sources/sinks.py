@@ -1,18 +1,12 @@
-"""Writers: whole refresh, refresh of a slice, first write wins, keyed update, and report lines."""
+"""Writers: first write wins, keyed update, surrogate keys, and report lines; `versions` has the refreshes."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def refresh(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
-
-
-def refresh_slices(df: DataFrame, path: str, by: tuple[str, ...] = ("source_type", "method")) -> None:
-    """Replaces the slices that ``df`` holds and leaves the others."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+from termlens.sources import numbering
+from termlens.sources.versions import refresh, refresh_slices, table  # noqa: F401
 
 
 def insert_ignore(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
@@ -36,9 +30,8 @@ def first_wins(df: DataFrame, keys: list, order: list) -> DataFrame:
 
 
 def with_ids(df: DataFrame, name: str, order: list[str]) -> DataFrame:
-    """Row numbers in an order, for the tables that name things (programs, skills, clusters). One window sees the
-    whole table, so this is not for texts or matches: those keep their natural keys."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
+    """Row numbers 1, 2, .. in an order (`numbering.numbered`)."""
+    return numbering.numbered(df, name, order)
 
 
 def write_json(df: DataFrame, path: str, without: tuple[str, ...] = ()) -> None:

@@ -25,7 +25,7 @@ def weekly_counts(events: DataFrame, item: str, skill: str, ts: str, delay: str
 
 
 def run_weekly(spark: SparkSession, source: str, schema, checkpoint: str, out: str, item: str, skill: str, ts: str, files_per_trigger: int = 1000) -> None:
-    """Counts what is new in a folder of Parquet and stops; the table at ``out`` then holds all counts so far."""
+    """Counts what is new in a folder of Parquet and stops; the table at ``out`` (`sinks.table`) then holds all counts so far."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
     counts = weekly_counts(stream, item, skill, ts)
 
@@ -57,7 +57,7 @@ def answers_layer(spark: SparkSession, raw_path: str, known: DataFrame, out: str
 
     raw = spark.read.parquet(raw_path).where("call_succeeded")
     sinks.refresh(grounding.grounded(raw, known), out)
-    return spark.read.parquet(out)
+    return sinks.table(spark, out)
 
 
 def read_or_empty(spark: SparkSession, path: str, ddl: str) -> DataFrame:

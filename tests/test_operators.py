@@ -282,7 +282,7 @@ def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(1, "course", "kw"), (2, "posting", "kw")], "id long, source_type string, method string")
     sinks.refresh_slices(rows, path)
     sinks.refresh_slices(rows.where("id = 1").withColumn("id", F.lit(9).cast("long")), path)
-    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [2, 9]
+    assert sorted(r.id for r in sinks.table(spark, path).collect()) == [2, 9]
 
 
 def test_views_on_small_tables(spark):
@@ -311,7 +311,7 @@ def test_stream_equals_batch(spark, tmp_path):
     for s, ts in first.values():
         y, w, _ = ts.isocalendar()
         want[s, f"{y}-W{w:02d}"] = want.get((s, f"{y}-W{w:02d}"), 0) + 1
-    got = {(r.skill, r.week): r.n for r in spark.read.parquet(out).collect()}
+    got = {(r.skill, r.week): r.n for r in sinks.table(spark, out).collect()}
     assert sum(got.values()) == 60 and got == want
 
 
