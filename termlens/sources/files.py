@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termlens.sources import split_csv
+from termlens.sources import split_csv, split_json
 
 JOB = "id string, title string, description string, created string, redirect_url string, salary_is_predicted string, salary_min double, salary_max double, latitude double, longitude double, company struct<display_name:string>, location struct<display_name:string,area:array<string>>, category struct<label:string,tag:string>"
 TECHNOLOGY = "category_code long, category_title string, examples array<struct<title:string,hot_technology:boolean,in_demand:boolean>>, used_by_occupations array<string>"
@@ -31,24 +31,11 @@ def csv_tree(spark: SparkSession, root: str) -> DataFrame:
 
 
 def json_list(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    """A JSON file that holds an array of objects."""
-    return spark.read.schema(ddl).json(path, multiLine=True)
+    """JSON files that hold an array of objects, or an object with the array in ``results``; large ones are read by many tasks."""
+    return split_json.read(spark, path, ddl)
 
 
-def json_list_or_results(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    """A JSON file that holds an array, or an object with the array in ``results``."""
-    whole = spark.read.text(path, wholetext=True)
-    listed = F.from_json("value", f"array<struct<{_colons(ddl)}>>")
-    wrapped = F.from_json("value", f"struct<results:array<struct<{_colons(ddl)}>>>")["results"]
-    is_list = F.ltrim("value").startswith("[")
-    return whole.select(F.explode(F.when(is_list, listed).otherwise(wrapped)).alias("row")).select("row.*")
-
-
-def _colons(ddl: str) -> str:
-    """``a int, b struct<..>`` as the fields of a struct type."""
-    from pyspark.sql.types import StructType
-
-    return ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in StructType.fromDDL(ddl))
+json_list_or_results = json_list
 
 
 def postings_from_jobs(jobs: DataFrame, source: str) -> DataFrame:
