@@ -139,4 +139,4 @@ def latin1(c: Column) -> Column:
 
 def contains_ci(c: Column, text: str) -> Column:
     """SQL ``LIKE '%text%'`` without case; per cent and underscore in ``text`` stay wildcards, a backslash is itself."""
-    return c.ilike("%" + text.replace("\\", "\\\\") + "%")
+    return c.ilike(re.sub("%+", "%", f"%{text}%").replace("\\", "\\\\"))  # several in a row mean the same and cost much

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from termlens.functions import stats
 from termlens.functions import text as tx
-from termlens.operators import clustering, evaluate, extraction, gaps, grounding
+from termlens.operators import clustering, evaluate, extraction, gaps, grounding, search
 from termlens.operators import trends as tr
 from termlens.plans import domain, views
 from termlens.plans.domain import read
@@ -396,6 +396,18 @@ def doc_search_text(spark: SparkSession, d: str) -> DataFrame:
     return views.course_finder(domain.tables(spark, d), text="der_e%ch").select("course_id")
 
 
+@_register("SELECT doc_id, pattern FROM documents, (VALUES ('nicht%die'), ('token = '), ('él_a'), ('the s'), ('e_'), ('zzzzqq')) v(pattern) WHERE text ILIKE '%' || pattern || '%'")
+def substring_search(spark: SparkSession, d: str) -> DataFrame:
+    """Several patterns, with wildcards and without, found through one index of the texts."""
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    postings = stage.written(search.index(docs, "doc_id", ["text"]))
+    out = None
+    for pattern in ("nicht%die", "token = ", "él_a", "the s", "e_", "zzzzqq"):
+        found = search.search(docs, postings, "doc_id", ["text"], pattern).select("doc_id", F.lit(pattern).alias("pattern"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @_register(_with("fd", "SELECT doc_id AS course_id FROM documents WHERE lang <> 'en' AND doc_id IN (SELECT doc_id FROM fd JOIN sk USING (skill_id) WHERE name IN ('that', 'license', 'version')) ORDER BY lang, 'C' || doc_id::VARCHAR, doc_id LIMIT 100"))
 def doc_search_skill(spark: SparkSession, d: str) -> DataFrame:
     return views.course_finder(domain.tables(spark, d), skills=("that", "license", "version")).select("course_id")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termlens.functions import text as tx
-from termlens.operators import extraction
+from termlens.operators import extraction, search
 from termlens.sources.tables import TREND_EXCLUDED
 
 
@@ -41,12 +41,15 @@ def tier_order(tier):
 
 
 def course_finder(t: dict[str, DataFrame], text: str = "", skills: tuple[str, ...] = (), limit: int = 100) -> DataFrame:
-    """Courses whose name or description holds the text and that name one of the skills; nothing if neither is given."""
+    """Courses whose name or description holds the text and that name one of the skills; nothing if neither is given.
+
+    With the courses' `search.index` as ``t["course_index"]`` only courses that have the text's triples of letters are read.
+    """
     rows = t["courses"].join(t["programs"].select("program_id", "university", "program_name"), "program_id")
     if not text and not skills:
         return rows.limit(0)
     if text:
-        rows = rows.where(tx.contains_ci(F.col("course_name"), text) | tx.contains_ci(F.col("description"), text))
+        rows = search.search(rows, t.get("course_index"), "course_id", ["course_name", "description"], text)
     if skills:
         wanted = t["skills"].where(F.col("canonical_name").isin(list(skills))).select("skill_id")
         found = t["extractions"].where("source_type = 'course'").join(wanted, "skill_id", "left_semi")

@@ -35,6 +35,27 @@ def run_weekly(spark: SparkSession, source: str, schema, checkpoint: str, out: s
     counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
 
 
+def count_history(spark: SparkSession, source: str, schema, checkpoint: str, out: str, item: str, skill: str, millis: str, files_per_trigger: int = 1000) -> None:
+    """Counts what is new in a folder of Parquet by skill and week, and stops; `history_counts` reads the sums.
+
+    Each item is read once: its first row counts, and one whose time can't be read is done as well, so no later row of it is looked at.
+    Only ids are kept as state. A batch's counts are a slice of the table at ``out`` under the batch's number, switched by its manifest: a
+    batch that is run again after a failure puts the same slice in its place.
+    """
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
+    first = stream.dropDuplicates([item]).select(F.col(skill).alias("skill"), stats.millis_week(F.col(millis)).alias("week"))
+
+    def write(batch: DataFrame, number: int) -> None:
+        sinks.refresh_slices(batch.groupBy("skill", "week").agg(F.count("*").alias("n")).withColumn("batch", F.lit(number)), out, ("batch",))
+
+    first.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+
+
+def history_counts(spark: SparkSession, out: str) -> DataFrame:
+    """``(skill, week, n)`` of all batches so far; rows without a week are the items that couldn't be read."""
+    return sinks.table(spark, out).groupBy("skill", "week").agg(F.sum("n").alias("n"))
+
+
 def upsert_postings(stream: DataFrame, path: str, key: str, checkpoint: str) -> StreamingQuery:
     """Appends postings whose id the table at ``path`` lacks; a batch that is run again adds nothing."""
     spark = stream.sparkSession
