@@ -615,3 +615,89 @@ def grounded_answers(spark: SparkSession, d: str) -> DataFrame:
     turns = read(spark, d, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("item_id"), F.col("text").alias("answer"))
     known = grounding.lookup(domain.skills(spark, d), "name", "skill_id")
     return grounding.grounded(turns, known).select("item_id", F.size("terms").cast("long").alias("n_terms"), "dropped")
+
+
+# The smaller steps, each over a whole table.
+
+
+@_register(_with("fd pg", "SELECT pg.program_id, fd.skill_id, count(DISTINCT fd.doc_id) AS n FROM fd JOIN pg ON pg.program = fd.lang GROUP BY ALL"))
+def program_extractions(spark: SparkSession, d: str) -> DataFrame:
+    """Extractions by the program of their course, through the key that is text."""
+    t = domain.tables(spark, d)
+    return gaps.course_extractions(t["extractions"], t["courses"]).groupBy("program_id", "skill_id").agg(F.count_distinct("course_id").alias("n"))
+
+
+_SPACE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+@_register(f"SELECT DISTINCT doc_id AS id, term FROM (SELECT doc_id, trim(regexp_replace(lower(coalesce(x, '')), '{_SPACE}', ' ', 'g')) AS term FROM (SELECT doc_id, unnest([lang, source] || string_split(text, ' ')) AS x FROM documents)) WHERE term <> ''")
+def label_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The terms of three columns of labels as one set for each document."""
+    named = lambda c: F.transform(c, lambda x: F.struct(x.alias("name")))
+    rows = read(spark, d, "documents").select(F.col("doc_id").alias("id"), named(F.array("lang")).alias("langs"), named(F.array("source")).alias("sources"), named(F.split("text", " ")).alias("words"))
+    return evaluate.label_sets(rows, {"langs": "name", "sources": "name", "words": "name"})
+
+
+_METRICS = "count(*) FILTER (t AND {p}) / nullif(count(*) FILTER ({p}), 0) AS p_{p}, count(*) FILTER (t AND {p}) / nullif(count(*) FILTER (t), 0) AS r_{p}"
+_HIT = "regexp_matches(lower(d.text), '(^|[^a-z0-9_])({w})($|[^a-z0-9_])')"
+
+
+@_register(
+    f"WITH x AS (SELECT l.toxic = 1 AS t, {_HIT.format(w='stupid|idiot|trash')} AS a, {_HIT.format(w='stupid|scum|moron|clown')} AS b FROM labels l JOIN documents d USING (doc_id)), m AS (SELECT {_METRICS.format(p='a')}, {_METRICS.format(p='b')} FROM x) "
+    "SELECT metric, round(coalesce(u, 0), 9) AS baseline, round(coalesce(v, 0), 9) AS other, round(coalesce(v, 0) - coalesce(u, 0), 9) AS delta FROM (SELECT 'precision' AS metric, p_a AS u, p_b AS v FROM m UNION ALL SELECT 'recall', r_a, r_b FROM m UNION ALL SELECT 'f1', 2 * p_a * r_a / nullif(p_a + r_a, 0), 2 * p_b * r_b / nullif(p_b + r_b, 0) FROM m)"
+)
+def metric_compare(spark: SparkSession, d: str) -> DataFrame:
+    """Two rules for toxic documents, metric by metric."""
+    labels = read(spark, d, "labels")
+    docs = read(spark, d, "documents").join(labels.select("doc_id"), "doc_id", "left_semi")
+    true = labels.where("toxic = 1").select("doc_id")
+    score = lambda terms: evaluate.micro(true, extraction.extract(docs, terms).select("doc_id"), ["doc_id"])
+    out = evaluate.compare(score(["stupid", "idiot", "trash"]), score(["stupid", "scum", "moron", "clown"]))
+    return out.select("metric", *[F.round(c, 9).alias(c) for c in ("baseline", "other", "delta")])
+
+
+@_register("SELECT doc_id, md5(coalesce(source, '') || '. ' || coalesce(text, '')) AS assembled, coalesce(nullif(nullif(lang, 'de'), ''), nullif(source, ''), '') AS filled, md5('Name the skills.' || chr(10) || chr(10) || 'TEXT:' || chr(10) || coalesce(text, '') || chr(10) || chr(10) || 'One a line.') AS prompt FROM documents")
+def assembled_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Title and body as one text, the first column that is filled, and a model's prompt (texts as digests)."""
+    rows = read(spark, d, "documents")
+    return rows.select("doc_id", F.md5(tx.doc_text(F.col("source"), F.col("text"))).alias("assembled"), tx.first_filled(F.when(F.col("lang") == "de", "").otherwise(F.col("lang")), F.col("source")).alias("filled"), F.md5(tx.prompt(F.col("text"), "Name the skills.", "One a line.")).alias("prompt"))
+
+
+@_register(f"WITH l AS ({_LINES}), s AS (SELECT *, count(*) FILTER (contains(line, '.')) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS seg FROM l), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, seg ORDER BY pos) AS k, max(seg) OVER (PARTITION BY doc_id) AS final FROM s) SELECT doc_id, seg, count(*) AS n_lines, max(length(line)) AS longest FROM n WHERE seg > 0 AND (seg < final OR k <= 25) GROUP BY ALL")
+def line_segments_capped(spark: SparkSession, d: str) -> DataFrame:
+    """`line_segments`; the last heading of a document has its first 25 lines only."""
+    lines = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    doc = Window.partitionBy("doc_id").orderBy("pos")
+    seg = F.count_if(F.contains("line", F.lit("."))).over(doc.rowsBetween(Window.unboundedPreceding, 0))
+    rows = lines.withColumn("seg", seg).withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "seg").orderBy("pos"))).withColumn("final", F.max("seg").over(Window.partitionBy("doc_id")))
+    kept = rows.where((F.col("seg") > 0) & ((F.col("seg") < F.col("final")) | (F.col("k") <= catalogs.WINDOW)))
+    return kept.groupBy("doc_id", "seg").agg(F.count("*").alias("n_lines"), F.max(F.length("line")).cast("long").alias("longest"))
+
+
+@_register(_with("ct", "SELECT cluster_id, round(least(1.0, 2 * avg((skill_id % 2 = 0)::INTEGER)) * 100, 7) AS share FROM ct GROUP BY ALL"))
+def role_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of the roles as bars of a hundred at most (here: twice the score, so that some are cut)."""
+    scores = views.role_match(_top(spark, d), _mine(spark, d))
+    return scores.select("cluster_id", F.round(clustering.top_share(F.col("score") * 2), 7).alias("share"))
+
+
+@_register("SELECT doc_id, n_chars FROM documents WHERE lang = 'en' AND n_chars >= 1000 AND source <> 'src0'")
+def sql_parameters(spark: SparkSession, d: str) -> DataFrame:
+    """SQL with markers for its parameters over a view."""
+    read(spark, d, "documents").createOrReplaceTempView("termlens_documents")
+    return files.query(spark, "SELECT doc_id, n_chars FROM termlens_documents WHERE lang = ? AND n_chars >= ? AND source <> ?", ("en", 1000, "src0"))
+
+
+_PCT = "printf('%.0f', {} * 100)"
+
+
+@_register(
+    _with(
+        "rt",
+        "SELECT variant, CASE variant % 3 WHEN 0 THEN name || ' shows up in ' || dem || '% of job postings we sampled, but almost none of this program''s courses (' || cov || '%) cover it.' WHEN 1 THEN 'Employers ask for ' || name || ' constantly -- ' || dem || '% of postings -- yet the curriculum barely touches it (' || cov || '% coverage).' ELSE 'A clear blind spot: ' || name || ' is expected in ' || dem || '% of real postings, but this program teaches it in only ' || cov || '% of its courses.' END || CASE trend_label WHEN 'rising' THEN ' Demand is climbing, so this gap is only getting more urgent.' WHEN 'falling' THEN ' Demand has cooled recently, though the gap is still real today.' ELSE '' END AS line "
+        f"FROM (SELECT *, {_PCT.format('demand_rate')} AS dem, {_PCT.format('coverage_rate')} AS cov, row_number() OVER (ORDER BY priority_score DESC, skill_id)::INTEGER - 1 AS variant FROM rt WHERE program = 'de' AND priority_tier = 'high') WHERE variant < 3",
+    )
+)
+def report_prose(spark: SparkSession, d: str) -> DataFrame:
+    """The sentences of a program's printed report."""
+    return views.program_report(domain.tables(spark, d), 1, date(2024, 2, 29))["prose"]

@@ -59,3 +59,40 @@ def test_numbers_follow_the_order(spark):
     assert [(r["name"], r["n"], r["x"]) for r in got] == sorted(data, key=lambda r: (r[0] is not None, (r[0] or "").encode(), r[1], r[2]))
     assert numbering.numbered(df.limit(0), "id", ["name"]).collect() == []
     assert [r["id"] for r in numbering.numbered(df.limit(1), "id", ["name"]).collect()] == [1]
+
+
+def test_samples_and_files_of_reports(spark, tmp_path):
+    from termlens.operators import clustering
+    from termlens.sources import tables
+    from termlens.streaming import incremental
+
+    points = spark.createDataFrame([(i, i % 3) for i in range(60)], "id long, cluster int")
+    took = clustering.members_sample(points).collect()
+    assert sorted(r["cluster"] for r in took) == [0] * 8 + [1] * 8 + [2] * 8
+    assert sorted(took) == sorted(clustering.members_sample(points.repartition(7)).collect())
+    recs = spark.createDataFrame([(1, "U", "P", r, t, f"why {r}", "s", 0.1, 0.2, 0.1, "no clear trend", 1.0 / r, r) for r, t in ((1, "high"), (2, "low"))], "program_id long, university string, program_name string, rank int, priority_tier string, rationale string, canonical_name string, program_coverage_rate double, market_demand_rate double, gap_value double, trend_label string, priority_score double, skill_id long")
+    sinks.write_report(recs, str(tmp_path / "report"))
+    text = [r["value"] for r in spark.read.text(str(tmp_path / "report"), wholetext=True).collect()]
+    assert text[0].strip().split("\n") == ["U -- P", "-" * 78, "[HIGH] why 1", "[LOW] why 2"]
+    sinks.write_report_csv(recs, str(tmp_path / "csv"))
+    assert [r["rank"] for r in spark.read.csv(str(tmp_path / "csv"), header=True).orderBy("rank").collect()] == ["1", "2"]
+    assert incremental.read_or_empty(spark, str(tmp_path / "nothing"), "id long").count() == 0
+    (tmp_path / "state.json").write_text('{"id": 1}\n{broken\n')
+    assert [r["id"] for r in incremental.read_or_empty(spark, str(tmp_path / "state.json"), "id long").collect()] == [1]
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS made LOCATION '{tmp_path}/made'")
+    tables.create(spark, "made")
+    tables.create(spark, "made")  # what is there stays
+    assert spark.table("made.extractions").columns[-2:] == ["source_type", "method"] and spark.table("made.programs").count() == 0
+    spark.sql("DROP DATABASE made CASCADE")
+
+
+def test_answers_are_grounded_again_from_the_raw_layer(spark, tmp_path):
+    from termlens.operators import grounding
+    from termlens.streaming import incremental
+
+    raw = str(tmp_path / "raw")
+    spark.createDataFrame([(1, "- pythn\nzzz", True), (2, None, False)], "item_id long, answer string, call_succeeded boolean").write.parquet(raw)
+    words = lambda *t: grounding.lookup(spark.createDataFrame(list(enumerate(t)), "pos long, term string"))
+    for terms, want in ((("Python",), (["Python"], 1)), (("Python", "zzzz"), (["Python", "zzzz"], 0))):
+        got = incremental.answers_layer(spark, raw, words(*terms), str(tmp_path / "layer")).collect()
+        assert [(r["item_id"], r["terms"], r["dropped"]) for r in got] == [(1, *want)]
