@@ -385,7 +385,7 @@ _PLACES = [f"s{i}" for i in range(1, 11)]
 @_register(_with("hm", "SELECT label, " + ", ".join(f"round(coalesce(max(rate) FILTER (place = {i}), 0.0), 9) AS s{i}" for i in range(1, 11)) + ", round((SELECT greatest(max(rate), 0.05) FROM hm), 9) AS top FROM (SELECT *, dense_rank() OVER (ORDER BY canonical_name) AS place FROM hm) GROUP BY label"))
 def heatmap_matrix(spark: SparkSession, d: str) -> DataFrame:
     """A column for each of the ten skills, in order of their names."""
-    long = views.heatmap(domain.tables(spark, d))
+    long = stage.written(views.heatmap(domain.tables(spark, d)))  # ten skills by the programs, read twice
     place = F.dense_rank().over(Window.orderBy("canonical_name"))  # ten skills by the programs
     wide = views.heatmap_matrix(long.withColumn("canonical_name", F.concat(F.lit("s"), place.cast("string"))), _PLACES).crossJoin(F.broadcast(views.color_top(long)))  # one row
     return wide.select("label", *[F.round(c, 9).alias(c) for c in (*_PLACES, "top")])
