@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from urllib.request import Request, urlopen
 
 import numpy as np
 import pandas as pd
@@ -14,6 +16,8 @@ from termlens.operators import fuzzy as nearest_term
 from termlens.operators import nearest
 
 FUZZY_CUTOFF, COSINE_CUTOFF = 0.70, 0.65
+#: How long a model may take for an answer. A fixed value.
+MODEL_SECONDS = 90.0
 
 
 def lookup(vocabulary: DataFrame, term: str = "term", order: str = "pos") -> DataFrame:
@@ -72,6 +76,21 @@ def encode(texts: DataFrame, encoder: Callable[[], Callable[[list[str]], np.ndar
     return texts.withColumn("vector", run(F.substring(column, 1, 600)))
 
 
+def local_model(address: str, model: str, timeout: float = MODEL_SECONDS, options: dict | None = None) -> Callable[[], Callable[[str], str]]:
+    """A client for `ask`: posts a prompt to a model's server and gives its whole answer, or fails after ``timeout`` seconds."""
+
+    def make():
+        def call(prompt: str) -> str:
+            body = json.dumps({"model": model, "prompt": prompt, "stream": False, **({"options": options} if options else {})}).encode()
+            request = Request(address, data=body, headers={"Content-Type": "application/json"})
+            with urlopen(request, timeout=timeout) as r:
+                return json.load(r)["response"]
+
+        return call
+
+    return make
+
+
 def ask(prompts: DataFrame, client: Callable[[], Callable[[str], str]], key: str = "item_id") -> DataFrame:
     """``(key, answer, call_succeeded, error)``: a call for each row; a failed call is a row, not a failed job."""
 

@@ -7,15 +7,17 @@ So no page that is in the table is asked for again, and a run that dies leaves n
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from collections.abc import Callable, Iterator
+from urllib.request import Request, urlopen
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termlens.sources import versions
+from termlens.sources import rest, versions
 
 #: Seconds of a run, and between two requests of a task, as the service asks for. Fixed values.
 BUDGET, DELAY = 150.0, 0.3
@@ -24,6 +26,30 @@ _PAGE = "path string, n int, address string, body string, next string, error str
 Client = Callable[[], Callable[[str], tuple[str, str | None]]]
 
 
+def whole_pages(headers: dict[str, str] | None = None, timeout: float = 30.0) -> Client:
+    """A client for pages of text that name no next one: what the server says the text is encoded in, UTF-8 if it doesn't."""
+
+    def make():
+        def get(address: str) -> tuple[str, str | None]:
+            request = Request(address, headers=headers or {})
+            with urlopen(request, timeout=timeout) as r:
+                return r.read().decode(r.headers.get_content_charset() or "utf-8", "replace"), None
+
+        return get
+
+    return make
+
+
+def linked_pages(get: Callable[[str], dict], next_key: str = "next") -> Client:
+    """A client for JSON pages, the next one's address under ``next_key`` (see `rest.at`); ``get`` as `rest.with_key` makes it."""
+
+    def one(address: str) -> tuple[str, str | None]:
+        page = get(address)
+        return json.dumps(page), rest.at(page, next_key)
+
+    return lambda: one
+
+
 def pages(spark: SparkSession, folder: str) -> DataFrame:
     """``(path, n, address, body, next, error, run)``: all pages so far; ``n`` counts a path's pages, a row with an error has no body."""
     if not versions.manifest(spark, folder)["parts"]:
