@@ -117,12 +117,12 @@ def phrase_extraction(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_register(
-    f"""WITH RECURSIVE {_PHRASES}, po AS (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, {_TOKENS} AS t FROM documents)),
-hit AS (SELECT s.doc_id, s.i, s.i + n AS e, s.term FROM (SELECT doc_id, i, n, array_to_string(t[i:i + n - 1], '') AS term, t[i + n - 1] AS z, t[i + n] AS a FROM po, (VALUES (1), (2), (3)) v(n) WHERE i + n - 1 <= len(t)) s JOIN ph ON ph.term = s.term WHERE NOT (regexp_matches(z, '[^a-z0-9_]') AND regexp_matches(coalesce(a, ' '), '^[a-z0-9_]'))),
+    f"""WITH {_PHRASES}, po AS (SELECT doc_id, unnest(t) AS a, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, {_TOKENS} AS t FROM documents)),
+ld AS (SELECT doc_id, i, a, lead(a) OVER w AS b, lead(a, 2) OVER w AS c, lead(a, 3) OVER w AS d FROM po WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+hit AS (SELECT s.doc_id, s.i, s.i + n AS e, s.term FROM (SELECT doc_id, i, 1 AS n, a AS term, a AS z, b AS y FROM ld UNION ALL SELECT doc_id, i, 2, a || b, b, c FROM ld UNION ALL SELECT doc_id, i, 3, a || b || c, c, d FROM ld) s JOIN ph ON ph.term = s.term WHERE NOT (regexp_matches(z, '[^a-z0-9_]') AND regexp_matches(coalesce(y, ' '), '^[a-z0-9_]'))),
 best AS (SELECT doc_id, i, max(e) AS e, arg_max(term, e) AS term FROM hit GROUP BY ALL),
-nxt AS (SELECT a.doc_id, a.i, a.e, a.term, b.i AS j FROM best a ASOF LEFT JOIN best b ON a.doc_id = b.doc_id AND a.e <= b.i),
-pick AS (SELECT * FROM nxt WHERE (doc_id, i) IN (SELECT doc_id, min(i) FROM best GROUP BY ALL) UNION ALL SELECT n.* FROM pick p JOIN nxt n ON n.doc_id = p.doc_id AND n.i = p.j)
-SELECT DISTINCT doc_id, term FROM pick"""
+pick AS (SELECT doc_id, list_reduce(list({{'i': i, 'e': e, 'out': [term]}} ORDER BY i), lambda a, x: CASE WHEN x.i >= a.e THEN {{'i': x.i, 'e': x.e, 'out': list_distinct(a.out || x.out)}} ELSE a END).out AS terms FROM best GROUP BY doc_id)
+SELECT DISTINCT doc_id, unnest(terms) AS term FROM pick"""
 )
 def phrase_extraction_longest(spark: SparkSession, d: str) -> DataFrame:
     """Terms of the same vocabulary that don't overlap, the longest at each place."""
