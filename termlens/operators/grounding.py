@@ -56,12 +56,12 @@ def vector_top1(items: DataFrame, vocabulary: DataFrame, cutoff: float = COSINE_
     return nearest.nearest(items, vocabulary, cutoff)
 
 
-def nearest_other(rows: DataFrame, cutoff: float = COSINE_CUTOFF, block: int = nearest.BLOCK, asked: str = "true") -> DataFrame:
+def nearest_other(rows: DataFrame, cutoff: float = COSINE_CUTOFF, block: int = nearest.BLOCK, asked: str = "true", places: int = nearest.PLACES) -> DataFrame:
     """``(item_id, match_id, score)``: each row's nearest other row by cosine, if it reaches the cutoff.
 
-    ``asked`` (a condition) chooses the rows that are queries; all rows are searched.
+    ``asked`` (a condition) chooses the rows that are queries; all rows are searched. Scores that are equal to ``places`` are ties.
     """
-    return nearest.nearest(rows.where(asked), rows, cutoff, other=True, block=block)
+    return nearest.nearest(rows.where(asked), rows, cutoff, other=True, block=block, places=places)
 
 
 def encode(texts: DataFrame, encoder: Callable[[], Callable[[list[str]], np.ndarray]], column: str = "text") -> DataFrame:

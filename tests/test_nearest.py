@@ -65,3 +65,31 @@ def test_empty_tables(spark):
     assert nearest.nearest(none, some, 0.5).collect() == [] and nearest.nearest(some, none, 0.5).collect() == []
     assert {r["item_id"]: r["match_id"] for r in nearest.nearest(some, some, 0.5, other=True).collect()} == {1: 2, 2: 1}
     assert nearest.nearest(some.where("id = 1"), some.where("id = 1"), 0.5, other=True).collect() == []
+
+
+def test_vectors_without_clusters_meet_on_a_grid(spark, monkeypatch):
+    """The bounds leave nearly every part: what is sent grows with the rows, whatever the parts."""
+    monkeypatch.setattr(nearest.packing, "ROWS", 64)
+    monkeypatch.setattr(nearest, "TILE", 32)
+    x = np.random.default_rng(5).normal(0, 1, (600, 12))
+    x[9], x[400], x[17], x[18] = x[3], x[3], 2 * x[3], 0
+    monkeypatch.setattr(nearest, "_asks", lambda *a, asks=nearest._asks, **b: asks(*a, **b) if a[3] else pytest.fail("parts were asked one by one"))
+    for other in (False, True):
+        table = list(enumerate(x.tolist()))
+        items = table if other else [(i, v) for i, v in enumerate((x[:200] + 0.5).tolist())]
+        got = {r["item_id"]: (r["match_id"], round(r["score"], 8)) for r in nearest.nearest(frame(spark, items), frame(spark, table), 0.3, other, block=16).collect()}
+        want = plain(items, table, 0.3, other)
+        assert got.keys() == want.keys()
+        assert all(got[i][0] == want[i][0] and got[i][1] == pytest.approx(want[i][1], abs=2e-8) for i in want)
+
+
+@pytest.mark.parametrize("asks", [0, 10**6])
+def test_ties_at_four_places(spark, monkeypatch, asks):
+    """Of scores that are equal to four places the least id stands, also below a greater cosine; the cutoff holds for that cosine."""
+    monkeypatch.setattr(nearest, "ASKS", asks)
+    turn = lambda c: [c, (1 - c * c) ** 0.5]
+    table = [(7, turn(0.90001)), (3, turn(0.89997)), (1, turn(0.8999)), (9, turn(0.900049))]
+    got = nearest.nearest(frame(spark, [(50, [1.0, 0.0])]), frame(spark, table), 0.3, block=2, places=4).collect()
+    assert [(r["match_id"], r["score"]) for r in got] == [(3, 0.9)]
+    assert nearest.nearest(frame(spark, [(50, [1.0, 0.0])]), frame(spark, table), 0.90005, block=2, places=4).collect() == []
+    assert len(nearest.nearest(frame(spark, [(50, [1.0, 0.0])]), frame(spark, table), 0.90004, block=2, places=4).collect()) == 1
