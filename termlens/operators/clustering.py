@@ -7,13 +7,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from termlens.operators import packing
+from termlens.sources import stage
+
 # The role words that sort postings into categories, in order of precedence.
 CATEGORIES = ("software engineer", "data scientist", "data engineer", "machine learning", "cybersecurity", "information security", "devops", "cloud engineer", "database administrator", "systems administrator", "web developer", "network engineer", "business intelligence")
 # Names of the clusters.
 LABELS = {0: "Cybersecurity / Information Security", 1: "Data Science / Data Engineering", 2: "Software / Web Development", 3: "Systems Administration", 4: "Machine Learning / AI", 5: "DevOps / Cloud Engineering", 6: "Business Intelligence", 7: "Network Engineering", 8: "Mixed (weak cluster -- multiple roles blended together)", 9: "Near-duplicate postings (data quality quirk, not a real role group)", 10: "Database Administration"}
 PER_CATEGORY, MIN_CHARS, SEED = 150, 150, 42
-#: Points of a block where all meet all.
-BLOCK = 2048
+#: Rows of a product of matrices where all points meet.
+BLOCK = 1024
 #: Different vectors among which k-means begins.
 START_ROWS = 4096
 
@@ -61,39 +64,84 @@ def shuffled_take(rows: DataFrame, by: str, key: str, n: int = PER_CATEGORY, see
 def silhouettes(points: DataFrame, block: int = BLOCK) -> DataFrame:
     """``(place, silhouette)``: mean Euclidean silhouette of ``(id, vector, clusters)`` for each place of the array of cluster numbers.
 
-    Every point meets every other once, whatever the number of clusterings, in blocks of about ``block`` rows within a task, by a
-    product of matrices. What leaves a task is a sum for each point and cluster, so pairs are never rows. Single points count as 0.
-    Ids are distinct; vectors that are null, have a null or no numbers, and points without clusters are left out. All vectors
-    have one length.
+    Every two points meet once, whatever the number of clusterings, on a grid of packed blocks (`packing`), by products of matrices of
+    ``block`` rows. What leaves a task is a matrix of sums, ``block`` points by all clusters, so neither pairs nor points are rows. The
+    driver sees the clusters' sizes. Single points count as 0. Ids are distinct; vectors that are null, have a null or no numbers, and
+    points without clusters are left out. All vectors have one length, all points as many clusters.
     """
     good = points.where("id is not null and size(clusters) > 0 and not exists(clusters, x -> x is null) and size(vector) > 0 and not exists(vector, x -> x is null)")
-    n = max(1, -(-good.count() // block))
-    good = good.select("id", F.col("vector").cast("array<double>").alias("vector"), F.col("clusters").cast("array<bigint>").alias("clusters"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("own"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = good.select(F.col("own").alias("i"), every.alias("j"), "id", "vector", "clusters")
-    right = good.select(every.alias("i"), F.col("own").alias("j"), "id", "vector", "clusters")
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    good = stage.written(good.select(F.monotonically_increasing_id().alias("id"), F.size("vector").alias("size"), F.col("vector").cast("array<double>").alias("vector"), F.col("clusters").cast("array<bigint>").alias("clusters")))
+    found = good.select(F.posexplode("clusters").alias("place", "cluster")).groupBy("place", "cluster").agg(F.count("*").alias("n")).orderBy("place", "cluster").toPandas()  # a row a cluster
+    if not len(found):
+        return points.sparkSession.createDataFrame([], "place int, silhouette double")
+    names = [own["cluster"].to_numpy() for _, own in found.groupby("place")]
+    starts = np.cumsum([0] + [len(c) for c in names])
+    sizes = found["n"].to_numpy(dtype=float)
+    width = len(sizes)
+    lines = packing.lines([good], 2 * width)
+
+    def pack(batches):
+        for batch in batches:
+            if len(batch):
+                clusters = np.array(batch["clusters"].tolist(), dtype=np.int64)
+                columns = np.stack([starts[p] + np.searchsorted(c, clusters[:, p]) for p, c in enumerate(names)], axis=1)
+                yield from packing.chunks(int(batch["size"].iloc[0]), _matrix(batch), {"id": batch["id"].to_numpy(), "columns": columns}, lines)
+
+    def ordered(blocks: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        x, (ids, columns) = packing.unpacked(blocks, {"id": np.int64, "columns": np.int64})
+        order = np.argsort(ids)
+        return x[order], columns.reshape(len(ids), -1)[order]
+
+    def member(columns: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(columns), width))
+        out[np.arange(len(columns))[:, None], columns] = 1.0
+        return out
+
+    def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(a) and len(b):
-            x, y = (np.array(f["vector"].tolist(), dtype=float) for f in (a, b))
-            d = np.sqrt(np.maximum(0, (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T))
-            d[a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]] = 0.0
-            mine, theirs = (np.array(f["clusters"].tolist(), dtype=np.int64) for f in (a, b))
-            for place in range(mine.shape[1]):
-                groups, member = np.unique(theirs[:, place], return_inverse=True)
-                total = d @ (member[:, None] == np.arange(len(groups))[None, :]).astype(float)
-                out.append(pd.DataFrame({"i": np.repeat(a["id"].to_numpy(), len(groups)), "place": place, "own": np.repeat(mine[:, place], len(groups)), "cluster": np.tile(groups, len(a)), "d": total.ravel()}))
-        return pd.concat(out) if out else pd.DataFrame({"i": [], "place": [], "own": [], "cluster": [], "d": []}).astype({"i": a["id"].dtype, "place": int, "own": int, "cluster": int})
-
-    kind = points.schema["id"].dataType.simpleString()
-    sums = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, f"i {kind}, place int, own long, cluster long, d double")
-    sizes = good.select(F.posexplode("clusters").alias("place", "cluster")).groupBy("place", "cluster").agg(F.count("*").alias("n"))
-    means = sums.groupBy("i", "place", "own", "cluster").agg(F.sum("d").alias("d")).join(sizes, ["place", "cluster"])
-    same = F.col("own") == F.col("cluster")
-    each = means.groupBy("i", "place").agg(F.max(F.when(same & (F.col("n") > 1), F.col("d") / (F.col("n") - 1))).alias("inner"), F.min(F.when(~same, F.col("d") / F.col("n"))).alias("outer"))
-    s = F.when(F.col("inner").isNull() | F.col("outer").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("outer") - F.col("inner"), F.greatest("outer", "inner")), F.lit(0.0)))
-    return each.groupBy("place").agg(F.avg(s).alias("silhouette"))
+            _, i, j = key
+            (x, mine), (y, theirs) = ordered(a), ordered(b)
+            across = [0.0] * -(-len(y) // block)
+            for r in range(0, len(x), block):
+                own, total = member(mine[r : r + block]), 0.0
+                for t in range(len(across)):
+                    s = t * block
+                    d = np.sqrt(_squares(x[r : r + block], y[s : s + block]))
+                    if i == j and r == s:
+                        np.fill_diagonal(d, 0.0)
+                    total = total + d @ member(theirs[s : s + block])
+                    if i != j:
+                        across[t] = across[t] + d.T @ own
+                out.append((i, r // block, j, total.tobytes(), mine[r : r + block].tobytes() if i == j else None))
+            if i != j:
+                for t in range(len(across)):
+                    across[t] = across[t].tobytes()
+                    out.append((j, t, i, across[t], None))
+        return pd.DataFrame(out, columns=["line", "tile", "by", "total", "own"])
+
+    def score(rows: pd.DataFrame) -> pd.DataFrame:
+        total = 0.0
+        for x in rows.sort_values("by")["total"]:
+            total = total + np.frombuffer(x).reshape(-1, width)
+        own = np.frombuffer(next(x for x in rows["own"] if x is not None), dtype=np.int64).reshape(len(total), -1)
+        at, out = np.arange(len(total)), []
+        for p, (start, end) in enumerate(zip(starts, starts[1:])):
+            n = sizes[own[:, p]]
+            inner = np.where(n > 1, total[at, own[:, p]] / np.maximum(n - 1, 1), np.nan)
+            outer = total[:, start:end] / sizes[start:end]
+            outer[at, own[:, p] - start] = np.inf
+            outer = outer.min(axis=1)
+            good = np.isfinite(outer) & (n > 1)
+            wide = np.maximum(inner, outer)
+            s = np.where(good & (wide > 0), (np.where(good, outer, 0.0) - inner) / np.where(wide > 0, wide, 1.0), 0.0)
+            out.append((p, float(s.sum()), len(s)))
+        return pd.DataFrame(out, columns=["place", "s", "n"])
+
+    blocks = good.mapInPandas(pack, packing.schema(["id", "columns"]))
+    sums = packing.grid(blocks, blocks, lines, run, "line int, tile int, by int, total binary, own binary", half=True)
+    each = sums.groupBy("line", "tile").applyInPandas(score, "place int, s double, n long")
+    return each.groupBy("place").agg((F.sum("s") / F.sum("n")).alias("silhouette"))
 
 
 def silhouette(points: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -164,10 +212,7 @@ def _pass(points: DataFrame, models: list[np.ndarray]) -> list[tuple[np.ndarray,
     def run(batches):
         stacked = np.concatenate(sent.value)
         sums, seen, cost = np.zeros((len(stacked), dim)), np.zeros(len(stacked)), np.zeros(len(stacked))
-        for batch in batches:
-            if not len(batch):
-                continue
-            x = _matrix(batch)
+        for x in (m[s : s + BLOCK] for batch in batches if len(batch) for m in (_matrix(batch),) for s in range(0, len(m), BLOCK)):
             d = _squares(x, stacked)
             member = np.zeros_like(d)
             for end, k in zip(ends, sizes):

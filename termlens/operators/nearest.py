@@ -224,7 +224,7 @@ def _units_packed(rows: DataFrame, columns: list[str], lines: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for size, own, units in _by_size(batch):
-                yield from packing.chunks(own, size, units, columns, lines)
+                yield from packing.chunks(size, units, {c: own[c].to_numpy() for c in columns}, lines)
 
     return rows.mapInPandas(run, packing.schema(columns))
 

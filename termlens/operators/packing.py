@@ -17,26 +17,26 @@ from pyspark.sql import functions as F
 BYTES, LINES, ROWS = 1 << 26, 8, 1024
 
 
-def lines(sides: list[DataFrame]) -> int:
-    """How many lines the grid of frames with ``size`` (numbers of a vector) needs."""
+def lines(sides: list[DataFrame], more: int = 0) -> int:
+    """How many lines the grid of frames with ``size`` (numbers of a vector) needs; ``more``: numbers that a task keeps for each row."""
     n = wide = 1
     for side in sides:
         r = side.agg(F.count("*").alias("n"), F.max("size").alias("size")).first()
         n, wide = max(n, r["n"]), max(wide, r["size"] or 1)
-    return max(min(LINES, -(-n // ROWS)), -(-n * wide * 8 // BYTES))
+    return max(min(LINES, -(-n // ROWS)), -(-n * wide * 8 // BYTES), -(-n * more * 8 // (3 * BYTES)))
 
 
 def schema(columns: list[str]) -> str:
     return "size int, line int, vectors binary, " + ", ".join(f"{c} binary" for c in columns)
 
 
-def chunks(own: pd.DataFrame, size: int, vectors: np.ndarray, columns: list[str], lines: int) -> Iterator[pd.DataFrame]:
-    """A batch's rows of one size as a row of bytes for each line; ``id`` is one of the columns, all are of eight bytes."""
-    line = (own["id"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(lines)
+def chunks(size: int, vectors: np.ndarray, columns: dict[str, np.ndarray], lines: int) -> Iterator[pd.DataFrame]:
+    """A batch's rows of one size as a row of bytes for each line; ``id``, a whole number, is one of the columns."""
+    line = (columns["id"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(lines)
     rows = []
     for i in np.unique(line):
         at = line == i
-        rows.append((size, int(i), vectors[at].astype("<f8").tobytes(), *[np.ascontiguousarray(own[c].to_numpy()[at]).tobytes() for c in columns]))
+        rows.append((size, int(i), vectors[at].astype("<f8").tobytes(), *[c[at].tobytes() for c in columns.values()]))
     yield pd.DataFrame(rows, columns=["size", "line", "vectors", *columns])
 
 
@@ -51,6 +51,7 @@ def grid(a: DataFrame, b: DataFrame, lines: int, run: Callable, kind: str, half:
     isn't before their row, for frames that are the same."""
     last, line = F.lit(lines - 1), F.col("line")
     left = a.withColumn("i", line).withColumn("j", F.explode(F.sequence(line if half else F.lit(0), last)))
+    b = b.select(*[F.col(c).alias(c) for c in b.columns])  # columns of its own, if both sides are one frame
     right = b.withColumn("j", line).withColumn("i", F.explode(F.sequence(F.lit(0), line if half else last)))
     key = ["size", "i", "j"]
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(run, kind)

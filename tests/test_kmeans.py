@@ -60,3 +60,19 @@ def test_odd_points(spark):
     same = frame(spark, np.ones((5, 2)))
     k, score, found = clustering.pick_k(same, [3, 2], 2)
     assert (k, score) == (2, 0.0) and {r["cluster"] for r in found.collect()} == {0}
+
+
+def test_all_points_meet_on_a_grid(spark, monkeypatch):
+    """Several lines and tiles, text ids, equal points and a cluster of one against the plain silhouette; what is shuffled are blocks."""
+    monkeypatch.setattr(clustering.packing, "ROWS", 40)
+    x = np.random.default_rng(7).normal(0, 1, (203, 5))
+    x[20:30] = x[3]
+    labels = np.random.default_rng(8).integers(0, 4, (203, 2))
+    labels[50, 1] = 9
+    rows = spark.createDataFrame([(f"p{i}", [float(v) for v in r], [int(c) for c in l]) for i, (r, l) in enumerate(zip(x, labels))], "id string, vector array<double>, clusters array<int>")
+    kept = []
+    grid = clustering.packing.grid
+    monkeypatch.setattr(clustering.packing, "grid", lambda a, b, *r, **k: kept.append(a) or grid(a, b, *r, **k))
+    got = {r["place"]: r["silhouette"] for r in clustering.silhouettes(rows, block=16).collect()}
+    assert got == {p: pytest.approx(clustering.silhouette_blocks(x, labels[:, p]), abs=1e-9) for p in (0, 1)}
+    assert kept[0].count() < len(x)
