@@ -322,3 +322,16 @@ def test_stream_upsert(spark, tmp_path):
         stream = spark.readStream.schema("k long, v string").parquet(source)
         incremental.upsert_postings(stream, table, "k", str(tmp_path / "c")).awaitTermination()
     assert sorted(r.k for r in spark.read.parquet(table).collect()) == [1, 2, 3]
+
+
+def test_items_are_counted_before_they_meet_the_skills(spark):
+    """`weekly_by` equals `weekly` of the join; an item seen under two documents counts once a week; few rows meet the skills."""
+    rng = random.Random(6)
+    seen = [(i, rng.randrange(5), f"w{rng.randrange(3)}") for i in range(300)]
+    seen += [(i, rng.randrange(5), f"w{rng.randrange(3)}") for i in range(40)] + [(i, 1, "w0") for i in range(900, 910)] * 2 + [(None, 1, "w1"), (950, 2, None), (951, None, "w1"), (952, 77, "w1")]
+    named = [(d, s) for d in range(5) for s in "abcdefgh"[: d + 3]] + [(60, "z")]
+    a, b = spark.createDataFrame(seen, "event_id long, doc_id long, week string"), spark.createDataFrame(named, "doc_id long, skill_id string")
+    got = trends.weekly_by(a, b, "event_id", "doc_id", "skill_id", "week")
+    rows = lambda df: sorted(map(tuple, df.select("skill", "week", "n").collect()), key=str)
+    want = rows(trends.weekly(a.join(b, "doc_id"), "event_id", "skill_id", "week"))
+    assert rows(got) == want and len(want) > 20
