@@ -14,19 +14,24 @@ what moves is a row for each distinct term of a text.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termlens.functions import text as tx
+from termlens.sources import stage
 
 OPENINGS = 1 << 16
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 26
+#: Runs that leave a task at a time.
+SENT = 20_000
 #: Bit of a table entry that stands for terms of this many tokens or more; their lengths are listed.
 MANY = 62
 _TOKEN = re.compile(r"[a-z0-9_]+|[^a-z0-9_]")
@@ -119,6 +124,21 @@ def build(terms: DataFrame) -> Filter:
     return Filter(openings, sorted(long), words)
 
 
+def _sent(batches: Iterator[pa.RecordBatch], schema: pa.Schema, made) -> Iterator[pa.RecordBatch]:
+    """The rows that ``made`` gives for each row, about ``SENT`` at a time: a text is a Python object only while it is looked at."""
+    out: list[list] = [[] for _ in schema]
+    for batch in batches:
+        for i in range(batch.num_rows):
+            for row in made(*[c[i].as_py() for c in batch.columns]):
+                for column, x in zip(out, row):
+                    column.append(x)
+            if len(out[0]) >= SENT:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+                out = [[] for _ in schema]
+    if out[0]:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+
+
 def _chosen(spans: Iterator[tuple[int, int, str]]) -> list[str]:
     """Distinct terms of the spans that a reader takes who goes from left to right, the longest at each place."""
     out, reach = {}, 0
@@ -149,17 +169,18 @@ def extract(docs: DataFrame, vocabulary: DataFrame, key: str = "doc_id", text: s
         found = rows.select(*who, F.explode(runs(F.col(text))).alias("term")).distinct()
         return found.join(terms, "term").select(*who, "term")
 
-    @F.pandas_udf("terms array<string>, starts array<array<int>>, ends array<array<int>>")
-    def spans(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [sent.value.runs(t) for t in batch]
-            yield pd.DataFrame({"terms": [list(f) for f in found], "starts": [[[a for a, _ in s] for s in f.values()] for f in found], "ends": [[[b for _, b in s] for s in f.values()] for f in found]})
+    # A text's keys go with its spans as one structure, so that they may have any type.
+    runs_kind = pa.schema([("row", pa.int64()), ("term", pa.string()), ("n", pa.int32()), ("starts", pa.binary())])
+    terms_kind = pa.schema([("row", pa.int64()), ("term", pa.string())])
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _sent(batches, runs_kind, lambda row, t: ((row, run, at[0][1] - at[0][0], array("i", [a for a, _ in at]).tobytes()) for run, at in sent.value.runs(t).items()))
 
-    @F.pandas_udf("array<string>")
-    def choose(groups: pd.Series) -> pd.Series:
-        return pd.Series([_chosen((a, b, r["term"]) for r in g for a, b in zip(r["starts"], r["ends"])) for g in groups])
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _sent(batches, terms_kind, lambda row, group: ((row, t) for t in _chosen((a, a + s["n"], s["term"]) for s in group for a in array("i", s["starts"]))))
 
-    placed = rows.select(*who, F.xxhash64(text).alias("__text"), spans(F.col(text)).alias("s"))
-    placed = placed.select(*who, "__text", F.explode(F.arrays_zip("s.terms", "s.starts", "s.ends")).alias("x")).select(*who, "__text", F.col("x.terms").alias("term"), F.col("x.starts").alias("starts"), F.col("x.ends").alias("ends"))
-    true = placed.join(terms, "term").groupBy(*who, "__text").agg(F.collect_list(F.struct("term", "starts", "ends")).alias("spans"))  # of one text
-    return true.select(*who, F.explode(choose("spans")).alias("term")).distinct()
+    placed = stage.written(rows.select(*who, F.col(text).alias("__text")).withColumn("__row", F.monotonically_increasing_id()))
+    found = placed.select("__row", "__text").mapInArrow(spans, "row long, term string, n int, starts binary")
+    true = found.join(terms, "term").groupBy("row").agg(F.collect_list(F.struct("term", "n", "starts")).alias("spans"))  # of one text
+    chosen = true.mapInArrow(choose, "row long, term string")
+    return placed.select("__row", *[c for c in (key, *keep)]).join(chosen.withColumnRenamed("row", "__row").withColumnRenamed("term", "__term"), "__row").select(*who, F.col("__term").alias("term")).distinct()

@@ -60,3 +60,18 @@ def test_odd_rows_and_tables(spark):
     for mode in ("all", "longest"):
         assert phrases.extract(none, table, mode=mode).collect() == []
         assert phrases.extract(docs, table.where("false"), mode=mode).collect() == []
+
+
+def test_spans_leave_a_task_in_small_batches(spark, monkeypatch):
+    """However many runs the texts of a batch have, a task holds those of about ``SENT`` only."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(phrases, "SENT", 10)
+    schema = pa.schema([("row", pa.int64()), ("term", pa.string())])
+    batch = pa.RecordBatch.from_pydict({"row": list(range(50)), "text": ["a b c d"] * 50})
+    out = list(phrases._sent(iter([batch]), schema, lambda row, text: ((row, t) for t in text.split())))
+    assert max(b.num_rows for b in out) <= 13 and sum(b.num_rows for b in out) == 200
+    docs = spark.createDataFrame([(i % 7, "one two one " * (i % 5), i % 3) for i in range(60)], "doc_id long, text string, row int")
+    table = spark.createDataFrame([("one two",), ("one",)], "term string")
+    got = {tuple(r) for r in phrases.extract(docs, table, mode="longest", keep=("row",)).collect()}
+    assert got == {(i % 7, i % 3, t) for i in range(60) if i % 5 for t in ("one two", "one")}
