@@ -8,14 +8,17 @@ is held against the pattern itself; wildcards part the pattern, and one without
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termlens.functions import text as tx
 
 GRAM = 3
+#: Triples that leave a task at a time.
+SENT = 50_000
 #: The files of an index; a triple is in one of them.
 PARTS = 64
 
@@ -31,11 +34,21 @@ def index(rows: DataFrame, key: str, columns: list[str], parts: int = PARTS) ->
     Null texts have none. Triples don't cross from one column to the next.
     """
 
-    @F.pandas_udf("array<string>")
-    def triples(*texts: pd.Series) -> pd.Series:
-        return pd.Series([sorted({low[i : i + GRAM] for t in row if t for low in (t.lower(),) for i in range(len(low) - GRAM + 1)}) for row in zip(*texts)])
-
-    found = rows.select(key, F.explode(triples(*[F.col(c) for c in columns])).alias("gram"))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, grams, at = batch.column(0), [], []
+            for i in range(batch.num_rows):
+                lows = [t.lower() for c in batch.columns[1:] if (t := c[i].as_py())]
+                own = {low[j : j + GRAM] for low in lows for j in range(len(low) - GRAM + 1)}
+                grams += own
+                at += [i] * len(own)
+                if len(grams) >= SENT or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), keys.take(pa.array(at, pa.int64()))], names=["gram", "key"])
+                    grams, at = [], []
+
+    found = rows.select(F.col(key).alias("key"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(triples, f"gram string, key {kind}").withColumnRenamed("key", key)
     return found.repartition(parts, "gram").sortWithinPartitions("gram").select("gram", key)
 
 

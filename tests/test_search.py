@@ -44,3 +44,11 @@ def test_history_is_counted_once(spark, tmp_path):
     want = {("sql", "2024-W01"): 3, ("sql", None): 1, ("go", "2024-W03"): 2, ("go", None): 1}
     assert run(second) == want
     assert run([]) == want  # a restart without new rows
+
+
+def test_triples_leave_a_task_in_small_batches(spark, monkeypatch):
+    """A task doesn't hold the triples of a whole batch of texts."""
+    monkeypatch.setattr(search, "SENT", 5)
+    rows = spark.createDataFrame([(i, f"abc{i:03d}xyz", None) for i in range(40)], "id long, a string, b string")
+    got = sorted((r["id"], r["gram"]) for r in search.index(rows, "id", ["a", "b"]).collect())
+    assert got == sorted((i, t[j : j + 3]) for i in range(40) for t in (f"abc{i:03d}xyz",) for j in range(7))
