@@ -335,3 +335,15 @@ def test_items_are_counted_before_they_meet_the_skills(spark):
     rows = lambda df: sorted(map(tuple, df.select("skill", "week", "n").collect()), key=str)
     want = rows(trends.weekly(a.join(b, "doc_id"), "event_id", "skill_id", "week"))
     assert rows(got) == want and len(want) > 20
+
+
+def test_found_words_are_dealt_before_they_are_hashed(spark):
+    """No task keeps a map of all words of its split; repeated rows and items still count once."""
+    docs = spark.createDataFrame([(1, "sql go sql"), (1, "go"), (2, "sql"), (None, "go")], "doc_id long, text string")
+    known = spark.createDataFrame([(5, "sql"), (6, "go")], "skill_id long, name string")
+    found = extraction.extract_words(docs, known)
+    assert "REPARTITION_BY_COL" in found._jdf.queryExecution().toString()
+    assert sorted(map(tuple, found.collect()), key=str) == [(1, 5), (1, 6), (2, 5), (None, 6)]
+    members = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (None, "a")], "item_id long, cluster_id string")
+    top = views.cluster_top_skills(found.withColumnRenamed("doc_id", "item_id").unionByName(found.withColumnRenamed("doc_id", "item_id")), members)
+    assert {(r["skill_id"], r["n"], r["total"]) for r in top.collect()} == {(5, 2, 4), (6, 1, 4)}
