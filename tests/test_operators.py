@@ -347,3 +347,11 @@ def test_found_words_are_dealt_before_they_are_hashed(spark):
     members = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (None, "a")], "item_id long, cluster_id string")
     top = views.cluster_top_skills(found.withColumnRenamed("doc_id", "item_id").unionByName(found.withColumnRenamed("doc_id", "item_id")), members)
     assert {(r["skill_id"], r["n"], r["total"]) for r in top.collect()} == {(5, 2, 4), (6, 1, 4)}
+
+
+def test_elements_leave_a_task_in_small_batches(spark, monkeypatch):
+    """A task doesn't hold the elements of a whole batch of pages."""
+    monkeypatch.setattr(catalogs, "SENT", 3)
+    pages = spark.createDataFrame([(i, "<h1>a</h1><ul>" + "<li>x <b>y</b></li>" * i + "</ul>") for i in range(6)] + [(9, None)], "page_id long, html string")
+    got = sorted((r["page_id"], r["pos"], r["tag"]) for r in catalogs.outline(pages).collect())
+    assert got == sorted((i, j, "h1" if not j else "li" if j % 2 else "b") for i in range(6) for j in range(2 * i + 1))
