@@ -6,14 +6,14 @@ import random
 import re
 import threading
 import urllib.parse
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from termlens.functions import text as tx
 from termlens.operators import clustering, evaluate, extraction, gaps, grounding, trends
-from termlens.plans import queries, views
+from termlens.plans import domain, queries, views
 from termlens.sources import catalogs, files, rest, sinks, tables
 from termlens.streaming import incremental
 
@@ -355,3 +355,28 @@ def test_elements_leave_a_task_in_small_batches(spark, monkeypatch):
     pages = spark.createDataFrame([(i, "<h1>a</h1><ul>" + "<li>x <b>y</b></li>" * i + "</ul>") for i in range(6)] + [(9, None)], "page_id long, html string")
     got = sorted((r["page_id"], r["pos"], r["tag"]) for r in catalogs.outline(pages).collect())
     assert got == sorted((i, j, "h1" if not j else "li" if j % 2 else "b") for i in range(6) for j in range(2 * i + 1))
+
+
+def test_words_split_as_by_the_list_of_characters(spark):
+    """`tx.words` splits by \\W as by the negated list, for letters whose lower case is or isn't ASCII too; the list isn't tried."""
+    texts = ["The C++ node_js v2, naïve İstanbul Kelvin ΣΑΣ", "", None, " ,lead and trail. ", "x\u0000y\tz w v", "日本 term 🙂emoji", "ſtrange ＡＢＣ"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    old = F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9_]+")
+    assert [r.a for r in df.select(tx.words(F.col("text")).alias("a")).collect()] == [r.b for r in df.select(old.alias("b")).collect()]
+    assert "[^a-z" not in df.select(tx.words(F.col("text")))._jdf.queryExecution().toString()
+
+
+def test_events_are_hashed_and_skills_numbered_once(spark, monkeypatch, tmp_path):
+    """Items with numbers and dates go without a sort by `weekly_by`; a null week counts as a week; recommendations number the skills once."""
+    seen = [(1, 5, None), (1, 5, None), (2, 5, None), (2, 5, date(2024, 1, 1)), (3, 5, date(2024, 1, 1)), (3, 6, date(2024, 1, 1)), (4, None, date(2024, 1, 8)), (4, 6, date(2024, 1, 8))]
+    a = spark.createDataFrame(seen, "item long, doc long, week date")
+    b = spark.createDataFrame([(5, 1), (6, 1), (6, 2)], "doc long, skill long")
+    got = trends.weekly_by(a, b, "item", "doc", "skill", "week")
+    rows = lambda df: sorted(map(tuple, df.select("skill", "week", "n").collect()), key=str)
+    assert rows(got) == rows(trends.weekly(a.join(b, "doc"), "item", "skill", "week"))
+    assert "SortAggregate" not in got._jdf.queryExecution().toString()
+
+    calls, skills = [], domain.skills
+    monkeypatch.setattr(domain, "skills", lambda *x: calls.append(1) or skills(*x))
+    domain.recommendations(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
